@@ -73,9 +73,10 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     while True:
         now = stash(now.mapInArrow(_contract, "v long, u long"), "components")
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        near = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(near, "a").select(F.col("b").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        # The minima are written, so that the joins deal both sides anew and the edges of one node can be split.
+        near = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-near")
+        large = stash(both.filter("b > a").join(near, "a").select(F.col("b").alias("v"), F.col("m").alias("u")).distinct(), "components-large")
+        least = stash(large.groupBy("v").agg(F.min("u").alias("m")), "components-least")
         small = large.join(least, "v")
         now = stash(small.select("v", F.col("m").alias("u")).unionByName(small.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct(), "components")
         inner = now.select("u").distinct().join(now.select(F.col("v").alias("u")), "u", "left_semi")

@@ -103,9 +103,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2, id_column
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(links(nodes.select("fp"), distance))
     linked = nodes.join(parts.withColumnRenamed("node", "fp"), "fp")
-    named = linked.groupBy("root").agg(F.min("least").alias("named"))
+    # Written first, so that both sides of the joins are dealt anew and the rows of a large group can be split.
+    linked = stash(linked.select("fp", "root", "least"), "simhash-linked")
+    named = stash(linked.groupBy("root").agg(F.min("least").alias("named")), "simhash-named")
     grouped = linked.select("fp", "root").join(named, "root").select("fp", "named")
-    ids = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
+    ids = stash(nodes.join(grouped, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id")), "simhash-ids")
     found = prints.join(ids, "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
