@@ -117,6 +117,7 @@ def decide(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     marked = narrow.select("uid", "doc_id", "text_sha256", look("first", "second").alias("candidate"))
     open_rows = marked.filter("candidate").drop("candidate")
     groups = open_rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count("*").alias("group_size"))
+    groups = stash(groups, "exact-groups")  # so that both sides of the join are dealt anew and a large group can be split
     settled = open_rows.join(groups, "text_sha256").select("uid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256")
     alone = marked.filter(~F.col("candidate")).select("uid", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.unionByName(settled)
