@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ class ForcedBoundaryBPE:
         self._simple = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
         self._simple_pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
         self._fragments = BoundedCache(self._merge, 100_000, 64)
-        self.words = BoundedCache(self._word, 500_000, 100)
+        self.words = BoundedCache(self._word, 700_000, 100)
 
     def _joined_pairs(self) -> set[str]:
         """Pairs of neighbouring symbols inside any token; a last symbol carries the word end."""
@@ -81,44 +82,52 @@ class ForcedBoundaryBPE:
 
     def fragments(self, piece: str) -> list[str]:
         """The fragments between the certain cuts of a piece of byte characters; the last one ends in ``</w>``."""
-        joined, out, begin, last = self.joined, [], 0, len(piece) - 1
-        for i in range(1, last):
-            if piece[i - 1 : i + 1] not in joined:
-                out.append(piece[begin:i])
-                begin = i
+        joined, last = self.joined, len(piece) - 1
+        cuts = [i for i in range(1, last) if piece[i - 1 : i + 1] not in joined]
         if last and piece[last - 1 :] + END not in joined:
-            out.append(piece[begin:last])
-            begin = last
-        out.append(piece[begin:] + END)
-        return out
+            cuts.append(last)
+        piece += END
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, None])] if cuts else [piece]
 
     def _merge(self, fragment: str) -> list[int]:
         """Ids of one fragment merged alone; ``</w>`` at its end says that the word ends there."""
-        final = fragment.endswith(END) and fragment != END
-        return [t.id for t in (self._ending.tokenize(fragment[: -len(END)]) if final else self._inner.tokenize(fragment))]
+        if fragment.endswith(END) and fragment != END:
+            return [t.id for t in self._ending.tokenize(fragment[: -len(END)])]
+        return [t.id for t in self._inner.tokenize(fragment)]
+
+    def _piece(self, piece: str) -> list[int]:
+        fragments = self.fragments(piece)
+        if len(fragments) == 1:  # a whole word: the cache of words has it
+            return self._merge(fragments[0])
+        cache = self._fragments
+        return [i for f in fragments for i in cache[f]]
 
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without white space and special tokens."""
+        if text.isascii() and text.isalpha():
+            return self._piece(text.lower())
         if self._simple.fullmatch(text):
             # ASCII and composed Latin-1 letters: normal already, and each letter has one lower-case form there.
             pieces = self._simple_pieces.findall(text.lower())
             pieces = [p.encode().decode("latin-1").translate(self._chars) for p in pieces]
         else:
             pieces = [p for p, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))]
-        cache = self._fragments
-        return [i for p in pieces for f in self.fragments(p) for i in cache[f]]
+        return [i for p in pieces for i in self._piece(p)]
 
     def _word(self, word: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of one word."""
-        text, ids = word.decode("utf-8", "replace"), []
-        at = 0
-        for m in self._special.finditer(text) if self._special and "<" in text else ():
-            ids += self._plain(text[at : m.start()]) if m.start() > at else []
-            ids.append(self.special[m[0]])
-            at = m.end()
-        if at < len(text):
-            ids += self._plain(text[at:])
-        return np.asarray(ids, dtype="<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if "<" not in text or not self._special:
+            ids = self._plain(text)
+        else:
+            ids, at = [], 0
+            for m in self._special.finditer(text):
+                ids += self._plain(text[at : m.start()]) if m.start() > at else []
+                ids.append(self.special[m[0]])
+                at = m.end()
+            if at < len(text):
+                ids += self._plain(text[at:])
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; null counts as empty.

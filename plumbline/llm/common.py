@@ -82,16 +82,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class BoundedCache(dict):
-    """A dictionary that computes what it lacks and starts afresh at ``limit`` entries, so that memory stays bounded."""
+    """A dictionary that computes what it lacks and holds at most twice ``limit`` entries.
+
+    There are two generations: at ``limit`` entries the young one becomes the
+    old one, and what is asked for again comes back from there.  So what is
+    frequent stays, and rare keys leave.
+    """
 
     def __init__(self, compute: Callable, limit: int = 400_000, longest: int = 200):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
