@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, bytes_of, pick_columns
+from .common import BoundedCache, bytes_of, pick_columns, small_batches
 
 END = "</w>"
 
@@ -65,8 +65,9 @@ class ForcedBoundaryBPE:
         self.joined = self._joined_pairs()
         self._simple = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
         self._simple_pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+        self._letters = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
         self._fragments = BoundedCache(self._merge, 100_000, 64)
-        self.words = BoundedCache(self._word, 700_000, 100)
+        self.words = BoundedCache(self._word, 600_000, 100)
 
     def _joined_pairs(self) -> set[str]:
         """Pairs of neighbouring symbols inside any token; a last symbol carries the word end."""
@@ -116,8 +117,15 @@ class ForcedBoundaryBPE:
 
     def _word(self, word: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of one word."""
+        if word[-1] in b".,;:!?" and len(word) > 1:
+            # A sign behind letters is a piece of its own, and the letters recur with other signs.
+            stem = word[:-1]
+            if stem.isalpha() or stem[-1] >= 0x80 and self._letters.fullmatch(stem.decode("utf-8", "replace")):
+                return self.words[stem] + self.words[word[-1:]]
         text = word.decode("utf-8", "replace")
-        if "<" not in text or not self._special:
+        if self._letters.fullmatch(text):
+            ids = self._piece(word.decode("latin-1").translate(self._chars))
+        elif "<" not in text or not self._special:
             ids = self._plain(text)
         else:
             ids, at = [], 0
@@ -149,7 +157,7 @@ class ForcedBoundaryBPE:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryBPE:
-    """One encoder for each file and Python process, with its warm caches."""
+    """One encoder for each file and Python process."""
     return ForcedBoundaryBPE(path)
 
 
@@ -162,7 +170,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids = [bpe.encode(t) for t in bytes_of(batch.column(1))]
             arrays = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), arrays, pa.array([bpe.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
@@ -177,7 +185,7 @@ def digest_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             n, of_ids, of_text = [], [], []
             for text in bytes_of(batch.column(1)):
                 ids = bpe.encode(text)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+import weakref
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_dir, stash  # noqa: F401
+
 #: Words throughout are maximal runs outside these characters, which is what ``bytes.split()`` yields.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -21,24 +27,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pick_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that nothing else travels to Python; clashing extra columns stay behind."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -49,6 +37,39 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text at most, one row at least, so that work on a batch stays small.
+
+    When the input ends, so does what the task remembered.
+    """
+    try:
+        for batch in batches:
+            begin = held = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+                if held and held + n > most:
+                    yield batch.slice(begin, i - begin)
+                    begin, held = i, 0
+                held += n
+            if begin < batch.num_rows:
+                yield batch.slice(begin)
+    finally:
+        forget()
+
+
+def text_scorer(score: Callable, result: str = "double"):
+    """A column function from text to ``score(list of bytes)``; null texts come as None."""
+    @F.pandas_udf(result)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in parts:
+                out = [score(texts[at : at + 512].tolist()) for at in range(0, len(texts), 512)]
+                yield pd.Series(np.concatenate(out) if out else np.empty(0))
+        finally:
+            forget()
+
+    return lambda text: run(text.cast("binary"))
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lift a function on one Arrow batch to what ``mapInArrow`` takes."""
 
@@ -81,6 +102,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_caches: list[weakref.ref] = []
+
+
+def forget() -> None:
+    """Cut all caches of this Python process to what a next task is likely to ask for.
+
+    Workers outlive their tasks, and several may lie idle in an executor, so
+    little may stay with them.  Frequent keys come early in any text: the
+    entries that came first are kept.
+    """
+    for cache in [c for r in _caches if (c := r()) is not None]:
+        kept = dict(islice(cache.items(), cache.limit // 12))
+        cache.clear()
+        cache.update(kept)
+        cache.old = {}
+    _caches[:] = [r for r in _caches if r() is not None]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # give free memory back to the system, where the C library can
+    except (OSError, AttributeError):
+        pass
+
+
 class BoundedCache(dict):
     """A dictionary that computes what it lacks and holds at most twice ``limit`` entries.
 
@@ -92,6 +137,7 @@ class BoundedCache(dict):
     def __init__(self, compute: Callable, limit: int = 400_000, longest: int = 200):
         super().__init__()
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+        _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.old.get(key)

@@ -20,7 +20,7 @@ beyond them meet the table in a join.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, fold_column, stash
+from .common import BoundedCache, bytes_of, fold_column, small_batches, stash
 
 END = b"\n"  # no word is this
 SMOOTH = 0.1
@@ -76,7 +76,7 @@ def count_words(texts: DataFrame, most: int = 200_000) -> DataFrame:
             for at in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 16)], pa.binary()), pa.array(numbers[at : at + (1 << 16)], pa.int64())], names=["word", "c"])
 
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in bytes_of(batch.column(0)):
                 counts.update(text.lower().split() if text else ())
                 if len(counts) >= most:
@@ -133,7 +133,7 @@ def count_triples(texts: DataFrame, own: dict[bytes, int], shape: Shape) -> np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = Classes(shared.value, shape), np.zeros(cells, np.int32)
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in bytes_of(batch.column(0)):
                 found, n = np.unique(classes.cells([*(text.lower().split() if text else ()), END]), return_counts=True)
                 total[found] += n.astype(np.int32)
@@ -280,9 +280,15 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run_with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in run(iter([batch.select(["uid", "text"])])):
-                yield pa.RecordBatch.from_arrays([*part.columns, batch.column(1)], names=[*part.schema.names, "doc_id"])
+        ids: deque[pa.Array] = deque()
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, 2):
+                ids.append(batch.column(1))
+                yield batch.select(["uid", "text"])
+
+        for part in run(texts()):
+            yield pa.RecordBatch.from_arrays([*part.columns, ids.popleft()], names=[*part.schema.names, "doc_id"])
 
     first = stash(numbered.mapInArrow(run_with_id, f"uid long, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>, doc_id {kind}"), "lm-documents")
     rare = first.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))

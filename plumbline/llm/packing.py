@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
-from .common import bytes_of, pick_columns
+from .common import bytes_of, pick_columns, small_batches
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,14 @@ class VectorPacker:
     pool: list[Piece] = field(default_factory=list)
     made: int = 0
 
+    def __post_init__(self):
+        self._demand = np.empty((3, self.pool_size + 1))
+        self._scale = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
+
+    def _keep(self, piece: Piece) -> None:
+        self._demand[:, len(self.pool)] = len(piece.ids), 1, piece.cost()
+        self.pool.append(piece)
+
     def add(self, pieces: Iterable[Piece]) -> Iterator[tuple[int, list[Piece]]]:
         for piece in pieces:
             rest: Piece | None = piece
@@ -87,7 +95,7 @@ class VectorPacker:
                 if len(head.ids) == self.limits.tokens:
                     yield self._number(), [head]  # full by itself
                 else:
-                    self.pool.append(head)
+                    self._keep(head)
                 if len(self.pool) >= self.pool_size:
                     yield self._number(), self._fill(self.limits.tokens)
 
@@ -103,28 +111,34 @@ class VectorPacker:
         return self.made - 1
 
     def _fill(self, room: int) -> list[Piece]:
-        limits, pool = self.limits, self.pool
-        scale = np.array([limits.tokens, limits.segments, limits.loss], float)
-        demand = np.array([(len(p.ids), 1, p.cost()) for p in pool], float)
+        """One sequence of at most ``room`` tokens, out of the pool."""
+        limits, n = self.limits, len(self.pool)
+        demand = self._demand[:, :n]
+        tokens, loss = demand[0], demand[2]
         left = np.array([room, limits.segments, limits.loss], float)
-        free, chosen = np.ones(len(pool), bool), []
-        while True:
-            able = free & (demand <= left).all(axis=1)
-            if not able.any():
+        free, chosen = np.ones(n, bool), []
+        while left[1] >= 1:
+            at = np.flatnonzero(free & (tokens <= left[0]) & (loss <= left[2]))
+            if not len(at):
                 break
-            score = np.where(able, (demand / scale) @ (left / scale), -1.0)
-            best = int(score.argmax())  # ties: the piece that came first
+            best = int(at[(left / self._scale**2 @ demand[:, at]).argmax()])  # ties: the piece that came first
             free[best] = False
-            left -= demand[best]
-            chosen.append(pool[best])
-        self.pool = [p for p, f in zip(pool, free) if f]
-        if self.cuttable and min(left) > 0:
+            left -= demand[:, best]
+            chosen.append(self.pool[best])
+        if self.cuttable and left.min() > 0 and free.any():
             # Nothing fits whole: the front of the longest piece fills the sequence.
-            best = max(range(len(self.pool)), key=lambda i: len(self.pool[i].ids), default=None)
-            if best is not None and (n := self.pool[best].fits(int(left[0]), int(left[2]))) > 0:
-                head, rest = self.pool[best].cut(n)
+            best = int(np.where(free, tokens, -1.0).argmax())
+            if (size := self.pool[best].fits(int(left[0]), int(left[2]))) > 0:
+                head, rest = self.pool[best].cut(size)
                 chosen.append(head)
-                self.pool[best : best + 1] = [rest] if rest is not None else []
+                if rest is None:
+                    free[best] = False
+                else:
+                    self.pool[best] = rest
+                    demand[:, best] = len(rest.ids), 1, rest.cost()
+        kept = np.flatnonzero(free)
+        self._demand[:, : len(kept)] = demand[:, kept]
+        self.pool = [self.pool[i] for i in kept.tolist()]
         return chosen
 
 
@@ -166,7 +180,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, limits: Limits =
                     out.append((p.key, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, base + number, at, p.ids.view("<i4") if with_ids else None))
                     at += len(p.ids)
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             key_type = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
                 ids = np.frombuffer(bpe.encode(text) + end, "<u4")

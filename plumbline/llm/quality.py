@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, pick_columns
+from .common import BoundedCache, bytes_of, pick_columns, small_batches, text_scorer
 from .labels import MOST_LABELS, held_out, training_rows
 
 BUCKETS, DIMS, ONES, CHUNK = 1 << 13, 32, 4, 1 << 10
@@ -78,9 +78,9 @@ def word_vectors(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams, (places, signs) = Streams(), index_vectors()
+        streams, (places, signs) = _streams(), index_vectors()
         total = np.zeros((2, BUCKETS * DIMS), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for s, parts in enumerate(zip(*map(streams, bytes_of(batch.column(0))))):
                 ids = np.concatenate(parts)
                 begins = np.cumsum([len(p) for p in parts])[:-1]
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _streams()
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             x = [pool(shared.value, find(t)) for t in bytes_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([p.tobytes() for p in x], pa.binary())], names=["label", "pooled"])
 
@@ -215,12 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
 def scorer(spark, model: QualityModel):
     """A column function from text to score."""
     shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts))
-
-    return lambda text: score(text.cast("binary"))
+    return text_scorer(lambda texts: shared.value.score(texts))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bytes_of, pick_columns, stash
+from .common import bytes_of, pick_columns, small_batches, stash
 from .components import connected_components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text
     """``(doc_id, fp)`` with the fingerprint's 64 bits as a signed long; a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             found = b"".join([fingerprint(t, size) for t in bytes_of(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">u8").astype(np.uint64).view(np.int64))], names=["doc_id", "fp"])
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, mix64, stash
+from .common import BoundedCache, bytes_of, mix64, small_batches, stash
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
 SECOND = 0xC2B2AE3D27D4EB4F | 1
@@ -39,7 +39,7 @@ class WordHashes:
     """64-bit hashes of a text's words, and of all its runs of n words."""
 
     def __init__(self):
-        self._hash = BoundedCache(xxhash.xxh64_intdigest, 500_000, 64)
+        self._hash = BoundedCache(xxhash.xxh64_intdigest, 300_000, 64)
 
     def words(self, text: bytes | None) -> np.ndarray:
         found = text.split() if text else []
@@ -140,7 +140,7 @@ def sampled_suffixes(numbered: DataFrame, least: int, key: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             keys, docs, places = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
                 at, hashes, _ = minimisers(hasher.words(text), least, key)
@@ -159,7 +159,7 @@ def extended_windows(with_places: DataFrame, least: int, key: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             first, second, docs, places = [], [], [], []
             for doc, text, alive in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist()):
                 words = hasher.words(text)

@@ -10,16 +10,16 @@ what single weights miss.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, per_batch, stash
+from .common import BoundedCache, bytes_of, per_batch, small_batches, stash, text_scorer
 from .labels import MOST_LABELS, held_out, training_rows
 
 BUCKETS = 1 << 18
@@ -127,11 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
     Without labelled rows the model knows no terms and scores one half.
     """
 
-    def terms(batch: pa.RecordBatch) -> pa.RecordBatch:
-        find = Terms()
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([find(t) for t in bytes_of(batch.column(0))], pa.list_(pa.int32()))], names=["label", "terms"])
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _terms()
+        for batch in small_batches(batches, 0):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([find(t) for t in bytes_of(batch.column(0))], pa.list_(pa.int32()))], names=["label", "terms"])
 
-    rows = stash(training_rows(docs, labels, target, most).select("text", "label").mapInArrow(per_batch(terms), "label int, terms array<int>"), "toxicity-terms")
+    rows = stash(training_rows(docs, labels, target, most).select("text", "label").mapInArrow(terms, "label int, terms array<int>"), "toxicity-terms")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("ones"), F.count("*").alias("seen"))
@@ -156,13 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
 def scorer(spark, model: FactorisationMachine):
     """A column function from text to score."""
     shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        find = _terms()
-        return pd.Series(shared.value.score([shared.value.select(find(t)) for t in texts]))
-
-    return lambda text: score(text.cast("binary"))
+    return text_scorer(lambda texts: shared.value.score([shared.value.select(_terms()(t)) for t in texts]))
 
 
 _held: list[Terms] = []
