@@ -218,7 +218,7 @@ def repeated_spans(numbered: DataFrame, least: int = 50, key: int = 20, partitio
     return _spans(compare_neighbours(windows, n), least)
 
 
-def _numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+def numbered_rows(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """``(doc, text)`` under the documents' own ids where these are unique and there, else under row numbers; and the rows with that number.
 
     The check reads ids alone.
@@ -239,7 +239,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, key: int = 20, id_column
     Null and empty texts and those of fewer than ``least`` words have none.  A
     repeated row is a copy like any other: its whole text is a passage.
     """
-    numbered, rows = _numbered(docs, id_column, text_column)
+    numbered, rows = numbered_rows(docs, id_column, text_column)
     spans = repeated_spans(numbered, least, key).select("doc", F.explode(F.arrays_zip("begins", "ends")).alias("x"), F.arrays_zip("cut_begins", "cut_ends").alias("cuts"))
     cut = F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + F.greatest(F.lit(0).cast("long"), F.least(c["cut_ends"], F.col("x.ends")) - F.greatest(c["cut_begins"], F.col("x.begins"))))
     found = spans.select("doc", F.col("x.begins").alias("begin"), (F.col("x.ends") - F.col("x.begins")).alias("n_words"), cut.alias("n_cut"))
@@ -266,7 +266,7 @@ def deduplicate(docs: DataFrame, least: int = 50, key: int = 20, id_column: str
     Documents without repeats stay as they are; a document of which no word is
     left goes.  ``n_chars`` follows the text where there is such a column.
     """
-    numbered, rows = _numbered(docs, id_column, text_column)
+    numbered, rows = numbered_rows(docs, id_column, text_column)
     spans = repeated_spans(numbered, least, key).filter(F.size("cut_begins") > 0).select(F.col("doc").alias("__plumbline_doc"), F.col("cut_begins").alias("__plumbline_from"), F.col("cut_ends").alias("__plumbline_to"))
 
     @F.pandas_udf("string")

@@ -337,6 +337,41 @@ def test_lm_is_normalised():
     # Within a class its words and the unseen one share all: (N + 0.1 * (V + 1)) over itself.
 
 
+def test_similar_texts_equal_brute_force(spark, odd, none):
+    """One text of each group at five words and 0.8, against all pairs; planted copies with changed words."""
+    rng = random.Random(9)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    base = [f"v{rng.randrange(3000)}" for _ in range(400)]
+    for i in range(60):
+        near = list(base)
+        for at in rng.sample(range(400), i % 12):
+            near[at] = "changed"
+        rows.append((100_000 + i, " ".join(near)))
+    rows += [(200_000 + i, t) for i, (_, t) in enumerate(ODD)]
+    sets = {}
+    for i, t in rows:
+        w = [x.lower() for x in words(t)]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            union = len(sets[a] | sets[b])
+            if not union or len(sets[a] & sets[b]) >= 0.8 * union - 1e-9:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    kept = simhash.deduplicate_similar(frame(spark, rows))
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in ids if find(i) == i]
+    assert simhash.deduplicate_similar(none).count() == 0
+    assert simhash.deduplicate_similar(odd).count() == 7  # a null and a repeated id: of the empty, of the seventy words and of "ok" one each, and four alone
+
+
 def test_pipeline_stages(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
