@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the least id stays."""
-    return simhash.deduplicate(docs)
+    """Of texts that share four fifths of their five-word shingles the document with the least id stays."""
+    return simhash.deduplicate_similar(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
