@@ -38,6 +38,9 @@ PIECES = 8  # bytes of a fingerprint
 ORDERS = mix64(np.arange(1, PIECES + 1, dtype=np.uint64))
 #: Two texts at similarity 0.8 differ in some 10 of 64 bits, by 5 standard deviations in fewer than these.
 FAR_BITS = 24
+#: Rows at one value whose pairs are all listed; rows of larger ones are paired by their rare shingles.
+CROWD = 16
+COUNTERS = 1 << 18
 
 
 def shingle_digests(text: bytes | None, size: int) -> Iterator[bytes]:
@@ -175,42 +178,100 @@ def signatures(numbered: DataFrame, size: int = 5) -> DataFrame:
     return numbered.select("doc", "text").mapInArrow(run, "doc long, fp long, mins array<long>")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """``(u, v)`` with ``u < v``: each row of ``(doc, fp, mins)`` with the least row at every value where it meets others.
+def meetings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where rows of ``(doc, fp, mins)`` meet: ``(variant, doc, fp, u, first)`` at values, ``(variant, u, v)`` at whole signatures.
 
     Every byte emits its ball of radius one together with its sampled shingle,
     72 values in all; two texts meet where they share the shingle and their
     bytes differ in two bits at most.  At similarity 0.8 a byte brings a pair
     together with a probability of about 0.7, so all eight miss one in ten
-    thousands.  Rows of one signature emit one set of values.  Least rows are
-    found by partial aggregation, so rows per value may grow.
+    thousands.  Rows of one signature emit one set of values, under the least
+    doc ``u``.  At a value ``u`` and ``first`` are the least doc and its
+    fingerprint, found by partial aggregation, so rows per value may grow.
     """
-    same = stash(signed.groupBy("fp", "mins").agg(F.min("doc").alias("u")), "similar-signatures")
+    same = stash(signed.groupBy("fp", "mins").agg(F.min("doc").alias("u"), F.count("*").alias("n")), "similar-signatures")
     masks = [0, *[1 << b for b in range(8)]]
     values = [F.xxhash64(F.lit(i), F.get("mins", F.lit(i)), F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255)).bitwiseXOR(F.lit(m))) for i in range(PIECES) for m in masks]
     emitted = same.select(F.col("u").alias("doc"), "fp", F.explode(F.array(*values)).alias("variant"))
     least = emitted.groupBy("variant").agg(F.min(F.struct("doc", "fp")).alias("least"), F.count("*").alias("n")).filter("n > 1")
     # Written first, so that the join deals both sides anew and a value with many rows can be split.
     least = stash(least.select("variant", F.col("least.doc").alias("u"), F.col("least.fp").alias("first")), "similar-least")
-    met = emitted.join(least, "variant").filter((F.col("u") < F.col("doc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= FAR_BITS))
-    equal = signed.join(same, ["fp", "mins"]).filter("u < doc")
-    return met.select("u", F.col("doc").alias("v")).unionByName(equal.select("u", F.col("doc").alias("v"))).distinct()
+    met = emitted.join(least, "variant").select("variant", "doc", "fp", "u", "first")
+    equal = signed.join(same.filter("n > 1"), ["fp", "mins"]).filter("u < doc")
+    return stash(met, "similar-met"), stash(equal.select(F.xxhash64(F.lit(PIECES), "fp", "mins").alias("variant"), "u", F.col("doc").alias("v")), "similar-equal")
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in shingle_digests(text, size)]]))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``(u, v)`` that lie in different components."""
+    left = roots.select(F.col("node").alias("u"), F.col("root").alias("p"))
+    right = roots.select(F.col("node").alias("v"), F.col("root").alias("q"))
+    return pairs.join(left, "u", "left").join(right, "v", "left").filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+
+
+def overlaps(rooted: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(u, v)`` with ``u < v`` of ``(doc, root, text)``: all pairs of different roots that can be similar enough, and few others.
+
+    Prefix filtering (Chaudhuri et al. 2006) with positions (Xiao et al. 2008):
+    under any one order of shingles, two similar sets share one of their first
+    ``n - similarity * n + 1``, early enough in both to leave room for the
+    overlap they need.  Shingles of rare buckets come first, so what many texts
+    share is hardly among them.  No pair is missed, whatever the counts are.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in small_batches(batches, 2):
+            for text in bytes_of(batch.column(2)):
+                seen += np.bincount((shingle_set(text, size) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["bucket", "c"])
+
+    rooted = rooted.select("doc", "root", "text")
+    table = rooted.mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table["bucket"].to_numpy(np.int64)] = table["c"].to_numpy(np.int64)
+    shared = rooted.sparkSession.sparkContext.broadcast(counts)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2, 1 << 20):
+            shingles, owner, place, total = [], [], [], []
+            for i, text in enumerate(bytes_of(batch.column(2))):
+                found = shingle_set(text, size)
+                n = len(found)
+                if n:
+                    order = np.lexsort((found, shared.value[(found % np.uint64(COUNTERS)).astype(np.int64)]))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+                    shingles.append(found[order].view(np.int64))
+                    owner.append(np.full(len(order), i))
+                    place.append(np.arange(len(order)))
+                    total.append(np.full(len(order), n))
+            if shingles:
+                at = pa.array(np.concatenate(owner))
+                arrays = [pa.array(np.concatenate(shingles)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(place)), pa.array(np.concatenate(total))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "u", "p", "i", "n"])
+
+    # Written, so that the join deals both sides anew and a shingle with many rows can be split.
+    left = stash(rooted.mapInArrow(begin, "shingle long, u long, p long, i long, n long"), "similar-prefixes")
+    right = left.select("shingle", F.col("u").alias("v"), F.col("p").alias("q"), F.col("i").alias("j"), F.col("n").alias("m"))
+    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    return left.join(right, "shingle").filter((F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & room).select("u", "v").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those of ``(u, v)`` whose sets of shingles have that Jaccard similarity or more; two texts without words are alike."""
 
-    def shingles(text: bytes | None) -> np.ndarray:
-        return np.unique(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in shingle_digests(text, size)]]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, left = None, np.empty(0, np.uint64)
         for batch in small_batches(batches, 2):
             alike = []
             for u, a, b in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(2)):
                 if u != known:
-                    known, left = u, shingles((a.as_py() or "").encode())
-                right = shingles((b.as_py() or "").encode())
+                    known, left = u, shingle_set((a.as_py() or "").encode(), size)
+                right = shingle_set((b.as_py() or "").encode(), size)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 union = len(left) + len(right) - both
                 alike.append(both >= similarity * union - 1e-9)
@@ -226,20 +287,40 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 def similar_links(numbered: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(u, v)``: links between rows of ``(doc, text)`` that are similar enough; their components are the groups.
 
-    First each row is compared with the least of its candidates; then all
-    other candidates are, but for those that the first links connect already.
+    First each row is compared with the least of the rows it meets, then with
+    the least at each of its values.  Where rows at a value are still in
+    different components after that, all of those are compared: the pairs of
+    a value with few rows as they are, and rows of crowded values by their
+    rare shingles.  So every pair that meets is linked, connected by others or
+    known to be unlike.
     """
-    pairs = stash(candidates(stash(signatures(numbered, size), "similar-prints")), "similar-pairs")
-    involved = pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct()
-    texts = stash(numbered.select("doc", "text").join(involved, "doc", "left_semi"), "similar-texts")
-    first = stash(verified(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, size, similarity), "similar-first")
+    met, equal = meetings(stash(signatures(numbered, size), "similar-prints"))
+    close = met.filter((F.col("u") < F.col("doc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= FAR_BITS))
+    pairs = stash(close.select("u", F.col("doc").alias("v")).unionByName(equal.select("u", "v")).distinct(), "similar-pairs")
+
+    def compared(some: DataFrame, name: str) -> DataFrame:
+        involved = some.select(F.col("u").alias("doc")).unionByName(some.select(F.col("v").alias("doc"))).distinct()
+        texts = stash(numbered.select("doc", "text").join(involved, "doc", "left_semi"), f"{name}-texts")
+        return stash(verified(some, texts, size, similarity), name)
+
+    tried = stash(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "similar-tried")
+    first = compared(tried, "similar-first")
     roots = stash(connected_components(first), "similar-roots")
-    left = roots.select(F.col("node").alias("u"), F.col("root").alias("p"))
-    right = roots.select(F.col("node").alias("v"), F.col("root").alias("q"))
-    apart = pairs.join(left, "u", "left").join(right, "v", "left").filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
-    tried = pairs.groupBy("v").agg(F.min("u").alias("u"))
-    others = stash(apart.join(tried, ["u", "v"], "left_anti"), "similar-others")
-    return first.unionByName(stash(verified(others, texts, size, similarity), "similar-second"))
+    second = first.unionByName(compared(stash(apart(pairs, roots).join(tried, ["u", "v"], "left_anti"), "similar-others"), "similar-second"))
+    roots = stash(connected_components(second), "similar-roots")
+    # A row unlike the one that stands for its signature meets whatever that one meets.
+    alone = stash(apart(equal.select("u", "v"), roots).join(equal, ["u", "v"]).select("variant", "u", "v"), "similar-alone")
+    rows = met.select("variant", "doc").unionByName(alone.select("variant", F.col("v").alias("doc"))).unionByName(alone.select("variant", F.col("u").alias("doc")).distinct())
+    rows = rows.unionByName(met.join(alone.select(F.col("u").alias("doc"), "v"), "doc").select("variant", F.col("v").alias("doc")))
+    rows = stash(rows.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("variant", "doc", F.coalesce("root", "doc").alias("root")), "similar-rows")
+    mixed = stash(rows.groupBy("variant").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")).filter("p < q").select("variant", "n"), "similar-mixed")
+    rows = stash(rows.join(mixed, "variant"), "similar-unsettled")
+    few = rows.filter(F.col("n") <= CROWD).select("variant", "doc", "root")
+    few = few.join(few.select("variant", F.col("doc").alias("v"), F.col("root").alias("q")), "variant").filter("doc < v and root <> q").select(F.col("doc").alias("u"), "v").distinct()
+    crowd = rows.filter(F.col("n") > CROWD).select("doc", "root").distinct()
+    crowded = stash(numbered.select("doc", "text").join(crowd, "doc").select("doc", "root", "text"), "similar-crowded")
+    rest = few.unionByName(overlaps(crowded, size, similarity)).distinct().join(pairs, ["u", "v"], "left_anti")
+    return second.unionByName(compared(stash(rest, "similar-rest"), "similar-third"))
 
 
 def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

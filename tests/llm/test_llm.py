@@ -392,3 +392,19 @@ def test_bounded_cache():
     for i in range(1000):
         assert cache[str(i % 37)] == str(i % 37) * 2
     assert len(cache) <= 10 and len(cache.old) <= 10 and cache["longer"] == "longerlonger" and "longer" not in cache
+
+
+def test_similar_texts_amid_boilerplate(spark):
+    """Planted pairs at 0.85 whose words are mostly the ones that hundreds of unlike texts share too."""
+    rng = random.Random(11)
+    shared = [f"b{i}" for i in range(330)]
+    rows, gone = [], []
+    for i in range(300):
+        own = [f"o{i}x{k}" for k in range(70)]
+        rows.append((i, " ".join(shared + own)))
+        if i >= 240:
+            at = rng.randrange(43)
+            rows.append((1000 + i, " ".join(shared + own[:at] + [f"c{i}x{k}" for k in range(27)] + own[at + 27 :])))
+            gone.append(1000 + i)
+    kept = {r.doc_id for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
+    assert sorted(i for i, _ in rows if i not in kept) == gone
