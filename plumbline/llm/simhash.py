@@ -36,8 +36,6 @@ PLACE = (np.arange(8) * 256).astype(np.int64)
 BLOCK = 1 << 16
 PIECES = 8  # bytes of a fingerprint
 ORDERS = mix64(np.arange(1, PIECES + 1, dtype=np.uint64))
-#: Two texts at similarity 0.8 differ in some 10 of 64 bits, by 5 standard deviations in fewer than these.
-FAR_BITS = 24
 #: Rows at one value whose pairs are all listed; rows of larger ones are paired by their rare shingles.
 CROWD = 16
 COUNTERS = 1 << 18
@@ -78,16 +76,20 @@ def fingerprint(text: bytes | None, size: int = 3) -> bytes:
     return _majority(counts, n) if n else bytes(8)
 
 
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *[np.unique(np.frombuffer(x, ">u8").astype(np.uint64)) for x in shingle_digests(text, size)]]))
+
+
 def signature(text: bytes | None, size: int = 5) -> tuple[bytes, np.ndarray]:
-    """The fingerprint and, for each of its bytes, the shingle that is least under an order of the byte's own (all ones without words)."""
-    n, counts, least = 0, np.zeros(2048, np.int64), np.full(PIECES, 2**64 - 1, np.uint64)
-    for found in shingle_digests(text, size):
-        counts += np.bincount((np.frombuffer(found, np.uint8).reshape(-1, 8) + PLACE).ravel(), minlength=2048)
-        n += len(found) // 8
-        hashes = np.frombuffer(found, ">u8").astype(np.uint64)
+    """The fingerprint of the distinct shingles and, for each of its bytes, the shingle that is least under an order of the byte's own (all ones without words)."""
+    counts, least, found = np.zeros(2048, np.int64), np.full(PIECES, 2**64 - 1, np.uint64), shingle_set(text, size)
+    for at in range(0, len(found), BLOCK):
+        hashes = found[at : at + BLOCK]
+        counts += np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + PLACE).ravel(), minlength=2048)
         for i in range(PIECES):
             least[i] = min(least[i], mix64(hashes ^ ORDERS[i]).min())
-    return (_majority(counts, n) if n else bytes(8)), least
+    return (_majority(counts, len(found)) if len(found) else bytes(8)), least
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -179,33 +181,28 @@ def signatures(numbered: DataFrame, size: int = 5) -> DataFrame:
 
 
 def meetings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where rows of ``(doc, fp, mins)`` meet: ``(variant, doc, fp, u, first)`` at values, ``(variant, u, v)`` at whole signatures.
+    """Where rows of ``(doc, fp, mins)`` meet: ``(variant, doc, u)`` at values, ``(variant, u, v)`` at whole signatures.
 
     Every byte emits its ball of radius one together with its sampled shingle,
     72 values in all; two texts meet where they share the shingle and their
     bytes differ in two bits at most.  At similarity 0.8 a byte brings a pair
     together with a probability of about 0.7, so all eight miss one in ten
     thousands.  Rows of one signature emit one set of values, under the least
-    doc ``u``.  At a value ``u`` and ``first`` are the least doc and its
-    fingerprint, found by partial aggregation, so rows per value may grow.
+    doc ``u``.  At a value ``u`` is the least doc, found by partial
+    aggregation, so rows per value may grow.
     """
     same = stash(signed.groupBy("fp", "mins").agg(F.min("doc").alias("u"), F.count("*").alias("n")), "similar-signatures")
     masks = [0, *[1 << b for b in range(8)]]
     values = [F.xxhash64(F.lit(i), F.get("mins", F.lit(i)), F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255)).bitwiseXOR(F.lit(m))) for i in range(PIECES) for m in masks]
-    emitted = same.select(F.col("u").alias("doc"), "fp", F.explode(F.array(*values)).alias("variant"))
-    least = emitted.groupBy("variant").agg(F.min(F.struct("doc", "fp")).alias("least"), F.count("*").alias("n")).filter("n > 1")
+    emitted = same.select(F.col("u").alias("doc"), F.explode(F.array(*values)).alias("variant"))
+    least = emitted.groupBy("variant").agg(F.min("doc").alias("u"), F.count("*").alias("n")).filter("n > 1")
     # Written first, so that the join deals both sides anew and a value with many rows can be split.
-    least = stash(least.select("variant", F.col("least.doc").alias("u"), F.col("least.fp").alias("first")), "similar-least")
-    met = emitted.join(least, "variant").select("variant", "doc", "fp", "u", "first")
+    least = stash(least.select("variant", "u"), "similar-least")
+    met = emitted.join(least, "variant").select("variant", "doc", "u")
     equal = signed.join(same.filter("n > 1"), ["fp", "mins"]).filter("u < doc")
     return stash(met, "similar-met"), stash(equal.select(F.xxhash64(F.lit(PIECES), "fp", "mins").alias("variant"), "u", F.col("doc").alias("v")), "similar-equal")
 
 
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in shingle_digests(text, size)]]))
-
-
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of ``(u, v)`` that lie in different components."""
     left = roots.select(F.col("node").alias("u"), F.col("root").alias("p"))
@@ -295,7 +292,7 @@ def similar_links(numbered: DataFrame, size: int = 5, similarity: float = 0.8) -
     known to be unlike.
     """
     met, equal = meetings(stash(signatures(numbered, size), "similar-prints"))
-    close = met.filter((F.col("u") < F.col("doc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= FAR_BITS))
+    close = met.filter("u < doc")
     pairs = stash(close.select("u", F.col("doc").alias("v")).unionByName(equal.select("u", "v")).distinct(), "similar-pairs")
 
     def compared(some: DataFrame, name: str) -> DataFrame:

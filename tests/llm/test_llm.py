@@ -408,3 +408,15 @@ def test_similar_texts_amid_boilerplate(spark):
             gone.append(1000 + i)
     kept = {r.doc_id for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
     assert sorted(i for i, _ in rows if i not in kept) == gone
+
+
+def test_similar_texts_with_a_repeated_line(spark):
+    """How often a line is repeated changes no set of shingles, so neither the signature; pairs with one at 0.97 are found."""
+    line = WORDS.encode() + b" "
+    assert simhash.signature(line * 2)[0] == simhash.signature(line * 300)[0]
+    assert (simhash.signature(line * 2)[1] == simhash.signature(line * 300)[1]).all()
+    rows = []
+    for i in range(60):
+        text, own = " ".join(f"w{i}x{k}" for k in range(150)), " ".join(f"l{i}x{k}" for k in range(12))
+        rows += [(i, f"{text} {own}"), (1000 + i, text + f" {own}" * 300)]
+    assert sorted(r.doc_id for r in simhash.deduplicate_similar(frame(spark, rows)).collect()) == list(range(60))
