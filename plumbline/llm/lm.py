@@ -1,16 +1,19 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
-Words fall into a fixed number of classes: the most frequent ones have one of
-their own, the rest share some by their last bytes.  A log-bilinear model
-(Mnih and Hinton 2007) predicts the class from the two before it: the context
-vectors of these add up, and their inner product with each class's vector plus
-its bias is the class's score.  It is trained by noise-contrastive estimation
-(Gutmann and Hyvarinen 2010) on the counts of class triples of the whole
-training corpus.  As classes are few, batched matrix products give the
-normalised log-probability of every class after every context once and for
-all.  Within its class a word has its smoothed share of the class's tokens,
-an unseen word being one more type, so a text's probability is normalised over
-all words.
+A log-bilinear model (Mnih and Hinton 2007) predicts a token from the two
+before it: the context vectors of these add up, and their inner product with
+each token's vector plus its bias is the token's score.  The most frequent
+words are tokens of their own; a rarer word is one of some shared tokens, by a
+hash of its last bytes, and has there its smoothed share of the shared token's
+count, an unseen word being one more type.  So a text's probability is
+normalised over all words.
+
+The model is trained by noise-contrastive estimation (Gutmann and Hyvarinen
+2010) on every training token: each task goes once over its own documents from
+the same beginning, and what tasks have learned is averaged by their tokens
+(McDonald et al. 2010), so steps grow with the corpus and the model doesn't.
+Batched matrix products then give the normaliser of every context once and for
+all, and a token's normalised log-probability takes four look-ups.
 
 What grows with the corpus, the counts of words, stays in tables: the most
 frequent words' counts are broadcast (a bounded number), and only tokens
@@ -23,15 +26,16 @@ import math
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, fold_column, small_batches, stash
+from .common import SUMS, BoundedCache, bytes_of, fold_column, merged_sums, send_sums, small_batches, stash
 
 END = b"\n"  # no word is this
 SMOOTH = 0.1
@@ -42,20 +46,20 @@ FOLDS, HELD_OUT = 10, 0
 class Shape:
     """Sizes of the model; none depends on the corpus."""
 
-    own: int = 64  # classes of one frequent word
-    shared: int = 64  # classes by last bytes
+    own: int = 448  # words that are tokens of their own
+    shared: int = 64  # tokens that rarer words share by last bytes
     dims: int = 32
     head: int = 1 << 18  # the most words whose counts are broadcast
     noise: int = 64
-    batch: int = 8192
-    steps: int = 1500
+    batch: int = 2048
+    rate: float = 0.01
 
     @property
-    def classes(self) -> int:
+    def leaves(self) -> int:
         return self.own + self.shared
 
 
-def shared_class(word: bytes, shape: Shape) -> int:
+def shared_leaf(word: bytes, shape: Shape) -> int:
     return shape.own + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-2:]) % shape.shared
 
 
@@ -103,134 +107,196 @@ def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(rows["word"].to_pylist(), rows["c"].to_pylist()))
 
 
-class Classes:
-    """The class of each word."""
+class Vocabulary:
+    """Places of the head's words, and the model's token (leaf) of every word."""
 
-    def __init__(self, own: dict[bytes, int], shape: Shape):
-        self.own, self.shape = own, shape
-        self._known = BoundedCache(self._find, 300_000, 64)
+    def __init__(self, head: dict[bytes, int], shape: Shape):
+        self.shape = shape
+        words = sorted(head, key=lambda w: (-head[w], w))
+        own = words[: shape.own]
+        if END not in own:
+            own = [*own[: shape.own - 1], END]
+        self.own = {w: i for i, w in enumerate(sorted(own))}
+        self.place = {w: i for i, w in enumerate(words)}
+        self.counts = np.array([head[w] for w in words], float)
+        self.leaf = np.array([self.leaf_of(w) for w in words] or [0], np.int16)
 
-    def _find(self, word: bytes) -> int:
-        return self.own[word] if word in self.own else shared_class(word, self.shape)
+    def leaf_of(self, word: bytes) -> int:
+        return self.own[word] if word in self.own else shared_leaf(word, self.shape)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._known.__getitem__, words), np.int32, len(words))
 
-    def cells(self, words: list[bytes]) -> np.ndarray:
-        """One number for each token: the classes two before, one before and its own; before the text are ends."""
-        k = self.shape.classes
-        ids = self.of(words)
-        padded = np.empty(len(ids) + 2, np.int32)
-        padded[:2] = self._known[END]
-        padded[2:] = ids
-        return (padded[:-2] * k + padded[1:-1]) * k + ids
+class Reader:
+    """Words to places in the head and to leaves, with a cache for rarer words."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._rare = BoundedCache(vocabulary.leaf_of, 100_000, 64)
 
-def count_triples(texts: DataFrame, own: dict[bytes, int], shape: Shape) -> np.ndarray:
-    """Counts of class triples over all texts.  Tasks send what they have met; the driver gets ``classes ** 3`` numbers at most."""
-    cells, chunk = shape.classes**3, 1 << 14
-    shared = texts.sparkSession.sparkContext.broadcast(own)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, total = Classes(shared.value, shape), np.zeros(cells, np.int32)
-        for batch in small_batches(batches, 0):
-            for text in bytes_of(batch.column(0)):
-                found, n = np.unique(classes.cells([*(text.lower().split() if text else ()), END]), return_counts=True)
-                total[found] += n.astype(np.int32)
-        for c in range(-(-cells // chunk)):
-            part = total[c * chunk : (c + 1) * chunk]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["chunk", "cells", "counts"])
-
-    def merge(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(chunk, np.int64)
-        for part in groups:
-            for at, n in zip(part["cells"], part["counts"]):
-                total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-        yield pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
-
-    out = np.zeros(-(-cells // chunk) * chunk, np.int64)
-    for row in texts.mapInArrow(run, "chunk int, cells binary, counts binary").groupBy("chunk").applyInPandas(merge, "chunk int, counts binary").collect():
-        out[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["counts"], np.int64)
-    return out[:cells]
+    def __call__(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The rare words of a text and its end, in order; places (-1: rare); leaves; and these after two ends."""
+        words = [*(text.lower().split() if text else ()), END]
+        at = np.fromiter(map(self.vocabulary.place.get, words, repeat(-1)), np.int32, len(words))
+        padded = np.empty(len(words) + 2, np.int16)
+        padded[:2] = self.vocabulary.own[END]
+        padded[2:] = self.vocabulary.leaf[at]
+        rare = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+        if rare:
+            padded[2:][at < 0] = list(map(self._rare.__getitem__, rare))
+        return rare, at, padded[2:], padded
 
 
 @dataclass
 class LogBilinear:
-    """Context vectors for each place before a token, class vectors and biases."""
+    """Context vectors for each place before a token, token vectors and biases, in one array of ``leaves`` rows."""
+
+    table: np.ndarray
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        d = self.table.shape[1] // 3
+        return self.table[:, :d], self.table[:, d : 2 * d], self.table[:, 2 * d : 3 * d], self.table[:, 3 * d]
 
-    far: np.ndarray
-    near: np.ndarray
-    target: np.ndarray
-    bias: np.ndarray
+    def look_ups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logarithms, ``k x k`` each: what the farther and the nearer token before add to a token's score (the bias with the nearer), and the normaliser of each context; batched matrix products."""
+        far, near, target, bias = self.parts()
+        of_far, of_near = far @ target.T, near @ target.T + bias
+        normaliser = np.empty_like(of_far)
+        for i in range(len(of_far)):
+            scores = of_far[i] + of_near
+            top = scores.max(axis=1)
+            normaliser[i] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        return of_far, of_near, normaliser
 
-    def log_probabilities(self) -> np.ndarray:
-        """Natural logarithms of the normalised probability of every class after every two, ``k x k x k``; one matrix product a context class."""
-        k = len(self.bias)
-        out = np.empty((k, k, k), np.float32)
-        for far in range(k):
-            scores = (self.far[far] + self.near) @ self.target.T + self.bias
-            top = scores.max(axis=1, keepdims=True)
-            out[far] = scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-        return out
 
+def beginning(shares: np.ndarray, shape: Shape, seed: int = 3) -> LogBilinear:
+    """Small random vectors, and the shares' logarithms for biases."""
+    random = np.random.default_rng(seed).normal(0, 0.1, (shape.leaves, 3 * shape.dims))
+    return LogBilinear(np.column_stack([random, np.log(shares)]).astype(np.float32))
 
-def train(counts: np.ndarray, shape: Shape, rate: float = 0.02, seed: int = 3) -> LogBilinear:
-    """Noise-contrastive estimation on a table of triple counts; noise is the classes' own distribution.
 
-    Batches are drawn in proportion to the counts, and all tokens of a batch
-    share its noise, so both sides are matrix products.
+class Learner:
+    """Noise-contrastive steps with Adam; all tokens of a batch share its noise, so both sides are matrix products.
+
+    What it has learned is the running mean of its parameters, which later steps move less.
     """
-    k, d, rng = shape.classes, shape.dims, np.random.default_rng(seed)
-    cells = np.flatnonzero(counts)
-    unigram = counts.reshape(-1, k).sum(axis=0) + SMOOTH
-    unigram = unigram / unigram.sum()
-    params = [rng.normal(0, 0.1, (k, d)).astype(np.float32) for _ in range(3)] + [np.log(unigram).astype(np.float32)]
-    if not len(cells):
-        return LogBilinear(*params)
-    ranks = np.cumsum(counts[cells].astype(float))
-    mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    log_noise = np.log(shape.noise * unigram).astype(np.float32)
-    eye = np.eye(k, dtype=np.float32)
-    for step in range(1, shape.steps + 1):
-        batch = cells[np.searchsorted(ranks, rng.random(shape.batch) * ranks[-1], side="right").clip(max=len(cells) - 1)]
-        far, near, word = eye[batch // (k * k)], eye[batch // k % k], eye[batch % k]
-        noise = eye[rng.choice(k, shape.noise, p=unigram)]
-        far_p, near_p, target, bias = params
-        context = far @ far_p + near @ near_p
-        own = word @ target
-        hit = (context * own).sum(axis=1) + word @ (bias - log_noise)
-        miss = context @ (noise @ target).T + noise @ (bias - log_noise)
-        up = (1 / (1 + np.exp(np.clip(hit, -30, 30)))) / shape.batch  # pulls tokens up
-        down = -(1 / (1 + np.exp(-np.clip(miss, -30, 30)))) / shape.batch  # pushes noise down
-        to_context = up[:, None] * own + down @ (noise @ target)
-        grads = [far.T @ to_context, near.T @ to_context, word.T @ (up[:, None] * context) + noise.T @ (down.T @ context), word.T @ up + noise.T @ down.sum(axis=0)]
-        now = rate * 0.5 * (1 + math.cos(math.pi * step / shape.steps)) + 1e-5
-        for i, g in enumerate(grads):
-            mean[i], square[i] = 0.9 * mean[i] + 0.1 * g, 0.999 * square[i] + 0.001 * g * g
-            params[i] = params[i] + now * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.999**step)) + 1e-8)
-    return LogBilinear(*params)
-
-
-def class_totals(counts: DataFrame, own: dict[bytes, int], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
-    shared = counts.sparkSession.sparkContext.broadcast(own)
+
+    def __init__(self, model: LogBilinear, shares: np.ndarray, shape: Shape, seed: int):
+        self.shape, self.rng = shape, np.random.default_rng(seed)
+        self.now, self.mean = model.table.astype(np.float32, copy=True), model.table.astype(np.float32, copy=True)
+        self._m, self._v, self.steps, self.tokens = np.zeros_like(self.now), np.zeros_like(self.now), 0, 0
+        self._ranks, self._log_noise = np.cumsum(shares), np.log(shape.noise * shares).astype(np.float32)
+
+    @staticmethod
+    def _add(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+        order = rows.argsort(kind="stable")
+        ordered = rows[order]
+        begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        out[ordered[begins]] += np.add.reduceat(values.take(order, axis=0), begins, axis=0)
+
+    def step(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> None:
+        n, d, k = len(word), self.shape.dims, len(self.now)
+        far_p, near_p, target, bias = LogBilinear(self.now).parts()
+        noise = np.searchsorted(self._ranks, self.rng.random(self.shape.noise) * self._ranks[-1], side="right").clip(max=k - 1)
+        context = far_p.take(far, axis=0) + near_p.take(near, axis=0)
+        own, others, shift = target.take(word, axis=0), target[noise], bias - self._log_noise
+        with np.errstate(over="ignore"):
+            up = np.float32(1 / n) / (1 + np.exp(np.einsum("ij,ij->i", context, own) + shift.take(word)))  # pulls tokens up
+            down = np.float32(-1 / n) / (1 + np.exp(-(context @ others.T + shift[noise])))  # pushes noise down
+        to_context = up[:, None] * own + down @ others
+        gradient = np.zeros_like(self.now)
+        self._add(gradient[:, :d], far, to_context)
+        self._add(gradient[:, d : 2 * d], near, to_context)
+        self._add(gradient[:, 2 * d : 3 * d], word, up[:, None] * context)
+        np.add.at(gradient[:, 2 * d : 3 * d], noise, down.T @ context)
+        gradient[:, 3 * d] = np.bincount(word, up, k) + np.bincount(noise, down.sum(axis=0), k)
+        self.steps += 1
+        self.tokens += n
+        self._m += np.float32(0.1) * (gradient - self._m)
+        self._v += np.float32(0.001) * (gradient * gradient - self._v)
+        rate = self.shape.rate / math.sqrt(1 + self.steps / 300) / (1 - 0.9**self.steps)
+        self.now += np.float32(rate) * self._m / (np.sqrt(self._v / np.float32(1 - 0.999**self.steps)) + np.float32(1e-8))
+        self.mean += np.float32(max(0.01, 1 / (1 + self.steps / 2))) * (self.now - self.mean)
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, shares: np.ndarray) -> LogBilinear:
+    """One pass over all tokens, each task on its own; the parameters' mean by the tokens that each task has seen."""
+    shape = vocabulary.shape
+    first = beginning(shares, shape)
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, first, shares))
+    width, chunk = first.table.shape[1] + 1, 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, model, shares = shared.value
+        part = TaskContext.get().partitionId()
+        read, learner = Reader(vocabulary), Learner(model, shares, shape, part)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def learn(least: int) -> None:
+            nonlocal held, size
+            triples, at = np.concatenate(held, axis=1), 0
+            while size - at >= least:
+                learner.step(*triples[:, at : at + shape.batch])
+                at += min(shape.batch, size - at)
+            held, size = [triples[:, at:]], size - at
+
+        for batch in small_batches(batches, 0):
+            for text in bytes_of(batch.column(0)):
+                padded = read(text)[3]
+                held.append(np.stack([padded[:-2], padded[1:-1], padded[2:]]))
+                size += len(padded) - 2
+                if size >= 16 * shape.batch:
+                    learn(shape.batch)
+        if size:
+            learn(1)
+        if learner.tokens:
+            yield from send_sums(np.column_stack([learner.mean, np.ones(len(learner.mean))]) * float(learner.tokens), chunk, part)
+
+    total = merged_sums(texts.mapInArrow(run, SUMS), shape.leaves, width, chunk)
+    return LogBilinear((total[:, :-1] / total[:, -1:]).astype(np.float32)) if total[0, -1] else first
+
+
+def leaf_totals(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each leaf."""
+    shared, k = counts.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.shape.leaves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, types = np.zeros(shape.classes, np.int64), np.zeros(shape.classes, np.int64)
+        tokens, types = np.zeros(k, np.int64), np.zeros(k, np.int64)
         for batch in batches:
-            ids = np.array([shared.value[w] if w in shared.value else shared_class(w, shape) for w in batch.column(0).to_pylist()], np.int64)
-            tokens += np.bincount(ids, batch.column(1).to_numpy(), shape.classes).astype(np.int64)
-            types += np.bincount(ids, minlength=shape.classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.classes), pa.int32()), pa.array(tokens), pa.array(types)], names=["k", "tokens", "types"])
+            ids = np.array([shared.value.leaf_of(w) for w in batch.column(0).to_pylist()], np.int64)
+            tokens += np.bincount(ids, batch.column(1).to_numpy(), k).astype(np.int64)
+            types += np.bincount(ids, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(tokens), pa.array(types)], names=["k", "tokens", "types"])
 
-    tokens, types = np.zeros(shape.classes, np.int64), np.zeros(shape.classes, np.int64)
+    tokens, types = np.zeros(k, np.int64), np.zeros(k, np.int64)
     for r in counts.select("word", "c").mapInArrow(run, "k int, tokens long, types long").groupBy("k").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():
         tokens[r["k"]], types[r["k"]] = r["tokens"], r["types"]
     return tokens, types
 
 
+@dataclass
+class Scorer:
+    """A text's tokens to the logarithm (base 10) of what the model says, without the rare words' counts."""
+
+    vocabulary: Vocabulary
+    of_far: np.ndarray
+    of_near: np.ndarray
+    normaliser: np.ndarray
+    log_share: np.ndarray  # the denominators within the leaves
+    log_count: np.ndarray  # of the head's words
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary, model: LogBilinear, tokens: np.ndarray, types: np.ndarray) -> Scorer:
+        share = tokens + SMOOTH * np.where(np.arange(len(tokens)) < vocabulary.shape.own, 1, types + 1)
+        return cls(vocabulary, *(x / np.float32(math.log(10)) for x in model.look_ups()), np.log10(share), np.log10(vocabulary.counts + SMOOTH))
+
+    def leaves(self, padded: np.ndarray) -> float:
+        """The sum of the leaves' normalised log-probabilities, and of the shares' denominators."""
+        far, near, own = padded[:-2].astype(np.int32), padded[1:-1].astype(np.int32), padded[2:].astype(np.int32)
+        k = len(self.log_share)
+        scores = self.of_far.take(far * k + own) + self.of_near.take(near * k + own) - self.normaliser.take(far * k + near)
+        return float(scores.sum(dtype=float) - self.log_share.take(own).sum())
+
+
 def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
@@ -245,32 +311,25 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
     tokens, types = size["tokens"], size["types"]
     head = head_words(counts, shape.head)
-    frequent = sorted(head, key=lambda w: (-head[w], w))[: shape.own]
-    if END not in frequent:
-        frequent = [*frequent[: shape.own - 1], END]
-    own = {w: i for i, w in enumerate(sorted(frequent))}
-    of_class, types_of_class = class_totals(counts, own, shape)
-    model = train(count_triples(learned, own, shape), shape)
-    log10_class = (model.log_probabilities() / math.log(10)).ravel()
-    log10_share = np.log10(of_class + SMOOTH * (types_of_class + 1))  # the denominators within the classes
+    vocabulary = Vocabulary(head, shape)
+    of_leaf, types_of_leaf = leaf_totals(counts, vocabulary)
+    shares = (of_leaf + SMOOTH) / (of_leaf + SMOOTH).sum()
+    model = train(learned, vocabulary, shares)
     all_share = math.log10(tokens + SMOOTH * (types + 1))
-    shared = spark.sparkContext.broadcast((head, own, log10_class, log10_share))
+    shared = spark.sparkContext.broadcast(Scorer.of(vocabulary, model, of_leaf, types_of_leaf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own, table, share = shared.value
-        classes, k = Classes(own, shape), shape.classes
+        scorer = shared.value
+        read = Reader(scorer.vocabulary)
         for batch in batches:
             n, known, base, score, rare, times = [], [], [], [], [], []
             for text in bytes_of(batch.column(1)):
-                words = [*(text.lower().split() if text else ()), END]
-                cells = classes.cells(words)
-                score.append(float(table[cells].sum(dtype=float) - share[cells % k].sum()))
-                found = list(map(head.get, words))
-                beyond = Counter([w for w, c in zip(words, found) if c is None])
-                inside = np.array([c for c in found if c is not None], float)
-                base.append(float(np.log10(inside + SMOOTH).sum()))
-                n.append(len(words))
-                known.append(len(inside))
+                beyond, at, own, padded = read(text)
+                score.append(scorer.leaves(padded))
+                base.append(float(scorer.log_count.take(at[at >= 0]).sum()))
+                n.append(len(own))
+                known.append(len(own) - len(beyond))
+                beyond = Counter(beyond)
                 rare.append(list(beyond))
                 times.append(list(beyond.values()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names=["uid", "n_tokens", "known", "base", "score", "rare", "times"])
@@ -306,5 +365,3 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         (F.col("base") + more - F.col("n_tokens") * F.lit(all_share)).alias("base_score"),
         (F.col("base") + more + F.col("score")).alias("score"),
     )
-
-

@@ -309,7 +309,7 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
         assert plain(module.score_documents(docs, labels).collect()) == plain(module.score_documents(docs, other).collect())
 
 
-SMALL = lm.Shape(own=8, shared=8, dims=8, head=64, batch=512, steps=200)
+SMALL = lm.Shape(own=24, shared=8, dims=8, head=64, batch=256)
 
 
 def test_lm(spark, odd, none):
@@ -330,11 +330,57 @@ def test_lm(spark, odd, none):
     assert lm.score_documents(none, SMALL).count() == 0
 
 
-def test_lm_is_normalised():
-    counts = np.random.default_rng(1).integers(0, 5, SMALL.classes**3)
-    table = np.exp(lm.train(counts, SMALL).log_probabilities().astype(float))
-    assert np.allclose(table.sum(axis=2), 1, atol=1e-4)
-    # Within a class its words and the unseen one share all: (N + 0.1 * (V + 1)) over itself.
+def test_lm_score_equals_brute_force(spark):
+    """Every token by its own softmax over all leaves and its share of the leaf, from counts made here; and all words' probabilities add up to one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).coalesce(1)
+    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), b"\n"] for r in docs.collect()}
+    counts = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: SMALL.own]
+    own = sorted(frequent if b"\n" in frequent else [*frequent[:-1], b"\n"])  # the end always has a leaf of its own
+    leaf = lambda w: own.index(w) if w in own else SMALL.own + xxhash.xxh32_intdigest(w.rstrip(b".,;:!?")[-2:]) % SMALL.shared
+    tokens, types = np.zeros(SMALL.leaves), np.zeros(SMALL.leaves)
+    for w, c in counts.items():
+        tokens[leaf(w)] += c
+        types[leaf(w)] += 1
+    learned = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).select("text")
+    head = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SMALL.own])
+    model = lm.train(learned, lm.Vocabulary(head, SMALL), (tokens + 0.1) / (tokens + 0.1).sum())
+    far, near, target, bias = (x.astype(float) for x in model.parts())
+
+    def probabilities(a, b):
+        scores = (far[a] + near[b]) @ target.T + bias
+        return np.exp(scores) / np.exp(scores).sum()
+
+    def share(w):
+        k = leaf(w)
+        return 1.0 if k < SMALL.own else (counts[w] + 0.1) / (tokens[k] + 0.1 * (types[k] + 1))
+
+    for r in lm.score_documents(docs, SMALL).collect():
+        ids = [leaf(b"\n")] * 2 + [leaf(w) for w in texts[r.doc_id]]
+        want = sum(math.log10(probabilities(*ids[i : i + 2])[ids[i + 2]] * share(w)) for i, w in enumerate(texts[r.doc_id]))
+        assert r.score == pytest.approx(want, rel=1e-4)
+    all_words = sum(probabilities(0, 3)[leaf(w)] * share(w) for w in counts)
+    unseen = sum(probabilities(0, 3)[k] * 0.1 / (tokens[k] + 0.1 * (types[k] + 1)) for k in range(SMALL.own, SMALL.leaves))
+    assert all_words + unseen == pytest.approx(1, abs=1e-9)
+
+
+def test_lm_learns_from_context():
+    """Most tokens follow from the last or the last but one; noise-contrastive steps find that, which no unigram can."""
+    rng = np.random.default_rng(2)
+    shape = lm.Shape(own=6, shared=2, dims=16, batch=256)
+    ids = np.zeros(40_000, np.int16)
+    ids[:2] = 0, 1
+    for i in range(2, len(ids)):
+        draw = rng.random()
+        ids[i] = (ids[i - 1] + 1) % 8 if draw < 0.5 else (ids[i - 2] + 5) % 8 if draw < 0.9 else rng.integers(8)
+    shares = np.full(8, 1 / 8)
+    learner = lm.Learner(lm.beginning(shares, shape), shares, shape, 1)
+    for _ in range(4):
+        for at in range(0, len(ids) - 2, shape.batch):
+            learner.step(ids[at : at + shape.batch][: len(ids) - 2 - at], ids[at + 1 : at + 1 + shape.batch][: len(ids) - 2 - at], ids[at + 2 : at + 2 + shape.batch])
+    of_far, of_near, normaliser = lm.LogBilinear(learner.mean).look_ups()
+    f, n, w = ids[:-2].astype(int), ids[1:-1].astype(int), ids[2:].astype(int)
+    assert (of_far[f, w] + of_near[n, w] - normaliser[f, n]).mean() > math.log(1 / 8) + 0.5
 
 
 def test_similar_texts_equal_brute_force(spark, odd, none):
