@@ -52,7 +52,7 @@ def to_regex(glob: str) -> str:
 def compile_all(patterns: list[str]) -> str | None:
     """One expression for a list of patterns, or None for an empty list."""
     parts = [to_regex(g) for p in patterns for g in expand(p)]
-    return "^(?:" + "|".join(parts) + ")$" if parts else None
+    return "(?s)\\A(?:" + "|".join(parts) + ")\\z" if parts else None
 
 
 def skipped(path: Column, patterns: list[str]) -> Column:

@@ -89,4 +89,4 @@ def option_entries(text: Column) -> Column:
 
 
 def valid_ref(text: Column) -> Column:
-    return text.rlike(r"^(?!-)[A-Za-z0-9._/@{}~^ \-]+$")
+    return text.rlike(r"^(?!-)[A-Za-z0-9._/@{}~^ \-]+\z")

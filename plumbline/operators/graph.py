@@ -66,7 +66,7 @@ def _one_task(edges: DataFrame, more: DataFrame | None, work: Callable[[pd.DataF
         if frames:
             yield work(pd.concat(frames, ignore_index=True))
 
-    return both.coalesce(1).mapInPandas(run, schema)
+    return both.repartition(1).mapInPandas(run, schema)
 
 
 def reachable(roots: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:

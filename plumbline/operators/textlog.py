@@ -47,8 +47,10 @@ def diff_ranges(lines: DataFrame) -> DataFrame:
     target = F.when((F.col("hunks") == 0) & v.startswith("+++ "), F.regexp_replace(F.trim(F.substring(v, 5, 1 << 20)), "^b/", ""))
     state = state.withColumn("path", F.last(target, ignorenulls=True).over(within)).withColumn("is_new", F.coalesce(F.bool_or(F.when(F.col("hunks") == 0, v.startswith("new file mode"))).over(within), F.lit(False)))
     start, count = F.regexp_extract(v, r"\+(\d+)", 1), F.regexp_extract(v, r"\+\d+,(\d+)", 1)
-    rows = state.filter(hunk & F.col("path").isNotNull() & (F.col("path") != "/dev/null") & (start != "")).select("source", "path", start.cast("int").alias("start"), F.when(count == "", 1).otherwise(F.expr("try_cast(nullif(regexp_extract(value, '\\\\+\\\\d+,(\\\\d+)', 1), '') as int)")).alias("n"), "is_new")
-    return rows.filter("n > 0").select("source", "path", "start", (F.col("start") + F.col("n") - 1).alias("end"), "is_new")
+    rows = state.filter(hunk & F.col("path").isNotNull() & (F.col("path") != "/dev/null")).select("source", "path", start.try_cast("long").alias("start"), F.when(count == "", 1).otherwise(count.try_cast("long")).alias("n"), "is_new")
+    # Numbers beyond any file's lines make a hunk that says nothing.
+    rows = rows.filter(F.col("start").between(0, OPEN_END) & F.col("n").between(1, OPEN_END)).withColumn("end", F.least(F.col("start") + F.col("n") - 1, F.lit(OPEN_END)))
+    return rows.select("source", "path", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "is_new")
 
 
 def untracked(paths: DataFrame) -> DataFrame:
@@ -61,9 +63,9 @@ def dependency_report(lines: DataFrame) -> DataFrame:
 
     Any line that is neither a header nor a coordinate ends the list.
     """
-    bare = F.trim(F.regexp_replace("value", r"^(?:\s*\[(?:INFO|WARNING|ERROR|DEBUG)\])+\s?", ""))
+    bare = F.regexp_replace("value", r"^\s*(?:\[WARNING\])*(?:\[INFO\])*\s*|\s+$", "")
     gav = ~bare.rlike(r"\s") & (F.size(F.split(bare, ":")) >= 4)
-    mode = F.when(bare.contains("Used undeclared dependencies"), "undeclared").when(bare.contains("Unused declared dependencies"), "unused").when(~gav, "none")
+    mode = F.when(bare.endswith("Used undeclared dependencies found:"), "undeclared").when(bare.endswith("Unused declared dependencies found:"), "unused").when(~gav, "none")
     state = lines.select("source", "line_no", "value").withColumn("mode", carried(mode))
     rows = state.filter(gav & F.col("mode").isin("undeclared", "unused") & mode.isNull()).select("source", F.col("mode").alias("kind"), F.concat_ws(":", F.split(bare, ":")[0], F.split(bare, ":")[1]).alias("coord"), "line_no")
     return first_seen(rows, ["source", "kind", "coord"], "line_no")

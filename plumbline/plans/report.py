@@ -8,7 +8,7 @@ from ..functions.scalar import efficiency_band, score_band
 from .scan import COMMANDS, Scan
 from .topics import TOPICS
 
-LEGENDS = {t[0]: t[3] for t in TOPICS} | {"families": "Sets of files that share several duplicates."}
+LEGENDS = {t[0].removeprefix("clone-"): t[3] for t in TOPICS}
 
 
 def with_band(df: DataFrame) -> DataFrame:

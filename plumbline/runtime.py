@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a session whose tasks all run in the driver's own process may do
+    without: it gets a folder of its own.  Elsewhere executors would write to
+    disks that nobody else sees, so an unset folder is an error.
+    """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="plumbline-")
+    sc.setCheckpointDir(place)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -22,4 +32,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which ends its lineage there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stashed_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`stash` wrote for frames that nothing reads any more; other frames are passed over."""
+    for df in frames:
+        if path := getattr(df, "_stashed_at", None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

@@ -40,17 +40,29 @@ def history(spark: SparkSession, root: Path | str) -> DataFrame:
     return commit_log(text_lines(spark, "log", text))
 
 
+def _succeeds(args: list[str], cwd: Path | str) -> bool:
+    try:
+        return subprocess.run(args, cwd=cwd, capture_output=True).returncode == 0
+    except OSError:
+        return False
+
+
 def changes(spark: SparkSession, root: Path | str, ref: str) -> tuple[DataFrame, DataFrame]:
     """``(path, start, end)`` and added paths against a revision, working tree and untracked files included."""
     if not valid_ref(ref):
         raise ValueError(f"not a revision: {ref!r}")
-    texts = [_run(["git", "diff", "--unified=0", "--no-color", f"{ref}...HEAD"], root), _run(["git", "diff", "--unified=0", "--no-color", "HEAD"], root)]
-    loose = [(f"untracked{i}", p) for i, p in enumerate(_run(["git", "ls-files", "--others", "--exclude-standard"], root).split("\n")) if p]
-    found = text_lines(spark, "branch", texts[0]).unionByName(text_lines(spark, "tree", texts[1]))
+    if not _succeeds(["git", "rev-parse", "--is-inside-work-tree"], root):
+        raise RuntimeError("not a repository")
+    if not _succeeds(["git", "rev-parse", "--verify", "--quiet", ref + "^{commit}"], root):
+        raise ValueError(f"no revision {ref!r}")
+    branch = _run(["git", "diff", "--unified=0", "--no-color", f"{ref}...HEAD"], root)
+    tree = _run(["git", "diff", "--unified=0", "--no-color", "HEAD"], root, check=False)  # what it can't say is no change
+    loose = [(f"untracked{i}", p) for i, p in enumerate(_run(["git", "ls-files", "--full-name", "--others", "--exclude-standard"], root, check=False).split("\n")) if p]
+    found = text_lines(spark, "branch", branch).unionByName(text_lines(spark, "tree", tree))
     all_rows = diff_ranges(found).unionByName(untracked(spark.createDataFrame(loose, "source string, path string")))
     return all_rows.select("path", "start", "end"), all_rows.filter("is_new").select("path").distinct()
 
 
 def dependencies(spark: SparkSession, root: Path | str) -> DataFrame:
     """The dependency analyser's report; its exit status says nothing, only a missing command is an error."""
-    return dependency_report(text_lines(spark, "build", _run(["mvn", "-q", "dependency:analyze"], root, check=False))).select("kind", "coord", F.col("line_no"))
+    return dependency_report(text_lines(spark, "build", _run(["mvn", "dependency:analyze", "--no-transfer-progress", "-B"], root, check=False))).select("kind", "coord", F.col("line_no"))
