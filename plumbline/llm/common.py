@@ -108,12 +108,12 @@ MERGERS = 64
 
 
 def send_sums(total: np.ndarray, chunk: int, part: int) -> Iterator[pa.RecordBatch]:
-    """A task's table of sums as rows of :data:`SUMS`: ``chunk`` rows of it at a time, without those that are all zero."""
+    """A task's table of sums as rows of :data:`SUMS`, in single precision: ``chunk`` rows of it at a time, without those that are all zero."""
     for c in range(-(-len(total) // chunk)):
         own = total[c * chunk : (c + 1) * chunk]
         at = np.flatnonzero(own.any(axis=1))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part % MERGERS], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].astype(np.float64).tobytes()], pa.binary())], names=["chunk", "part", "at", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part % MERGERS], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].astype(np.float32).tobytes()], pa.binary())], names=["chunk", "part", "at", "sums"])
 
 
 def merged_sums(sent: DataFrame, rows: int, columns: int, chunk: int) -> np.ndarray:
@@ -122,15 +122,18 @@ def merged_sums(sent: DataFrame, rows: int, columns: int, chunk: int) -> np.ndar
     Sums meet in two steps, by chunk and group of tasks and then by chunk, so no task adds up what all tasks sent.
     """
 
-    def merge(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((chunk, columns))
-        for group in groups:
-            for at, sums in zip(group["at"], group["sums"]):
-                total[np.frombuffer(at, np.int32)] += np.frombuffer(sums, np.float64).reshape(-1, columns)
-        yield pd.DataFrame({"chunk": [key[0]], "part": [0], "at": [np.arange(chunk, dtype=np.int32).tobytes()], "sums": [total.tobytes()]})
+    def merge(kind: type):
+        def run(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((chunk, columns))
+            for group in groups:
+                for at, sums in zip(group["at"], group["sums"]):
+                    total[np.frombuffer(at, np.int32)] += np.frombuffer(sums, kind).reshape(-1, columns)
+            yield pd.DataFrame({"chunk": [key[0]], "part": [0], "at": [np.arange(chunk, dtype=np.int32).tobytes()], "sums": [total.tobytes()]})
+
+        return run
 
     out = np.zeros((-(-rows // chunk) * chunk, columns))
-    for row in sent.groupBy("chunk", "part").applyInPandas(merge, SUMS).groupBy("chunk").applyInPandas(merge, SUMS).collect():
+    for row in sent.groupBy("chunk", "part").applyInPandas(merge(np.float32), SUMS).groupBy("chunk").applyInPandas(merge(np.float64), SUMS).collect():
         out[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["sums"], np.float64).reshape(chunk, columns)
     return out[:rows]
 

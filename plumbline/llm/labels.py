@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import fold_column
 
 #: The most labelled rows that a classifier is fitted on; all of them where there are fewer.
-MOST_LABELS = 60_000
+MOST_LABELS = 30_000
 FOLDS, HELD_OUT = 4, 2
 
 

@@ -1,13 +1,16 @@
 """Quality by random-indexing word vectors and a two-layer network.
 
 Every term has a fixed sparse random index vector; a term's word vector is the
-sum of its neighbours' index vectors over the whole corpus (Kanerva et al.
-2000).  A text is two parallel streams of terms: its words, and the shapes of
-its words (runs of small, capital, digit and sign characters, marked where a
-word follows itself or a pair of words was there before).  Word vectors are
-averaged over each stream, and a network with one hidden layer, in numpy,
-turns the pooled vectors into a logit whose temperature is fitted on training
-rows kept aside.
+sum of its neighbours' index vectors, up to two places away, over the whole
+corpus (Kanerva et al. 2000).  A text is two parallel streams of terms: its
+words, and the shapes of its words (runs of small, capital, digit and sign
+characters, marked where a word follows itself or a pair of words was there
+before).  Word vectors are averaged over each stream, and a network with one
+hidden layer, in numpy, turns the pooled vectors into a logit whose
+temperature is fitted on training rows kept aside.
+
+Words have hashed places in a table of fixed size, as the vocabulary grows
+with the corpus; words that share a place share a vector.
 """
 
 from __future__ import annotations
@@ -17,120 +20,108 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, pick_columns, small_batches, text_scorer
+from .common import SUMS, BoundedCache, bytes_of, merged_sums, pick_columns, send_sums, small_batches, text_scorer
 from .labels import MOST_LABELS, held_out, training_rows
 
-BUCKETS, DIMS, ONES, CHUNK = 1 << 13, 32, 4, 1 << 10
+WORDS, SHAPES = 1 << 16, 1 << 13  # places of the two streams
+DIMS, ONES, REACH, CHUNK = 32, 4, 2, 1 << 10
 HIDDEN = 24
 THRESHOLD = 0.7
-_RUN = re.compile(rb"([a-z\x80-\xff])[a-z\x80-\xff]*|([A-Z])[A-Z]*|([0-9])[0-9]*")
-
-
-def _shape_run(m: re.Match) -> bytes:
-    return b"a" if m[1] else b"A" if m[2] else b"0"
+BLOCK = 1 << 16
+_KINDS = bytes(ord("a") if chr(c).islower() or c >= 0x80 else ord("A") if 0x41 <= c <= 0x5A else ord("0") if 0x30 <= c <= 0x39 else c for c in range(256))
+_RUN = re.compile(rb"([aA0])\1+")
 
 
 def word_and_shape(word: bytes) -> int:
-    """Buckets of the word in small letters (upper half) and of its shape."""
-    shape = _RUN.sub(_shape_run, word)[:12]
-    return (xxhash.xxh64_intdigest(word.lower()) % BUCKETS) << 32 | xxhash.xxh64_intdigest(b"s" + shape) % BUCKETS
+    """Places of the word in small letters (upper half) and of its shape."""
+    shape = b"a" if word.isalpha() and word.islower() else _RUN.sub(rb"\1", word.translate(_KINDS))
+    return (xxhash.xxh64_intdigest(word.lower()) % WORDS) << 32 | xxhash.xxh64_intdigest(b"s" + shape) % SHAPES
 
 
 class Streams:
     def __init__(self):
-        self._known = BoundedCache(word_and_shape, 300_000, 64)
+        self._known = BoundedCache(word_and_shape, 150_000, 64)
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """The word and the shape buckets of a text in order."""
+        """The places of a text's words and of their shapes, in order."""
         words = text.split() if text else []
         both = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
         own, shape = both >> 32, both & 0xFFFFFFFF
         if len(both) > 1:
             mark = np.zeros(len(both), np.int64)
-            pairs = own[:-1] * BUCKETS + own[1:]
+            pairs = own[:-1] * WORDS + own[1:]
             _, first = np.unique(pairs, return_index=True)
             again = np.ones(len(pairs), bool)
             again[first] = False
             mark[1:][again] = 1
             mark[1:][own[1:] == own[:-1]] = 2
-            shape = (shape + mark * 2731) % BUCKETS
+            shape = (shape + mark * 2731) % SHAPES
         return own, shape
 
 
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Each term's few places and signs, the same everywhere."""
+    """The few places and signs of each term of either stream, words first; the same everywhere."""
     rng = np.random.default_rng(seed)
-    places = np.argsort(rng.random((BUCKETS, DIMS)), axis=1)[:, :ONES]
-    return places.astype(np.int64), rng.choice(np.array([-1, 1]), (BUCKETS, ONES)).astype(np.int64)
+    places = np.argsort(rng.random((WORDS + SHAPES, DIMS)), axis=1)[:, :ONES]
+    return places.astype(np.int32), rng.choice(np.array([-1, 1], np.int32), (WORDS + SHAPES, ONES))
+
+
+def add_neighbours(total: np.ndarray, ids: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
+    """To the row of each term of one text the index vectors of those up to ``REACH`` places away."""
+    flat = total.reshape(-1)
+    for distance in range(1, REACH + 1):
+        left, right = ids[:-distance], ids[distance:]
+        for x, y in ((left, right), (right, left)):
+            for at in range(0, len(x), BLOCK):
+                a, b = x[at : at + BLOCK], y[at : at + BLOCK]
+                np.add.at(flat, (a[:, None] * DIMS + places[b]).ravel(), signs[b].ravel())
 
 
 def word_vectors(docs: DataFrame, text_column: str = "text") -> np.ndarray:
-    """Unit word vectors of the word and the shape stream, ``2 x BUCKETS x DIMS``, from all documents.
+    """Unit word vectors, ``WORDS + SHAPES`` by ``DIMS``, from all documents.
 
-    A task sends its sums in chunks of rows; what reaches the driver has a
-    fixed size whatever the corpus.
+    What a task sends, and what reaches the driver, has a fixed size whatever
+    the corpus.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams, (places, signs) = _streams(), index_vectors()
-        total = np.zeros((2, BUCKETS * DIMS), np.int64)
+        total = np.zeros((WORDS + SHAPES, DIMS), np.int32)
         for batch in small_batches(batches, 0):
-            for s, parts in enumerate(zip(*map(streams, bytes_of(batch.column(0))))):
-                ids = np.concatenate(parts)
-                begins = np.cumsum([len(p) for p in parts])[:-1]
-                joined = np.ones(max(len(ids) - 1, 0), bool)
-                joined[[b - 1 for b in begins.tolist() if 0 < b < len(ids)]] = False
-                left, right = ids[:-1][joined], ids[1:][joined]
-                for at in range(0, len(left), 1 << 18):
-                    a, b = left[at : at + (1 << 18)], right[at : at + (1 << 18)]
-                    for k in range(ONES):
-                        for x, y in ((a, b), (b, a)):
-                            total[s] += np.bincount(x * DIMS + places[y, k], signs[y, k], BUCKETS * DIMS).astype(np.int64)
-        for s in range(2):
-            for c in range(BUCKETS // CHUNK):
-                own = total[s].reshape(BUCKETS, DIMS)[c * CHUNK : (c + 1) * CHUNK]
-                rows = np.flatnonzero(own.any(axis=1))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([s * (BUCKETS // CHUNK) + c], pa.int32()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()), pa.array([own[rows].tobytes()], pa.binary())], names=["chunk", "rows", "sums"])
-
-    def merge(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((CHUNK, DIMS), np.int64)
-        for part in groups:
-            for rows, sums in zip(part["rows"], part["sums"]):
-                total[np.frombuffer(rows, np.int32)] += np.frombuffer(sums, np.int64).reshape(-1, DIMS)
-        yield pd.DataFrame({"chunk": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
-
-    merged = pick_columns(docs, text_column).mapInArrow(run, "chunk int, rows binary, sums binary").groupBy("chunk").applyInPandas(merge, "chunk int, sums binary")
-    out = np.zeros((2 * BUCKETS, DIMS), np.float32)
-    for row in merged.collect():
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["sums"], np.float32).reshape(CHUNK, DIMS)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).reshape(2, BUCKETS, DIMS)
+            for text in bytes_of(batch.column(0)):
+                own, shape = streams(text)
+                add_neighbours(total, own, places, signs)
+                add_neighbours(total, shape + WORDS, places, signs)
+        yield from send_sums(total, CHUNK, TaskContext.get().partitionId())
+
+    out = merged_sums(pick_columns(docs, text_column).mapInArrow(run, SUMS), WORDS + SHAPES, DIMS, CHUNK)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def pool(vectors: np.ndarray, streams: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A text's input: mean vector of each stream and the logarithm of its length."""
     out = np.zeros(2 * DIMS + 1, np.float32)
     for s, ids in enumerate(streams):
-        if len(ids):
-            counts = np.bincount(ids, minlength=0)
-            seen = np.flatnonzero(counts)
-            out[s * DIMS : (s + 1) * DIMS] = (counts[seen].astype(np.float32) / len(ids)) @ vectors[s][seen]
+        for at in range(0, len(ids), BLOCK):
+            out[s * DIMS : (s + 1) * DIMS] += vectors.take(ids[at : at + BLOCK] + s * WORDS, axis=0).sum(axis=0) / np.float32(len(ids))
     out[-1] = np.log1p(len(streams[0])) / 4
     return out
 
 
 @dataclass
 class Network:
-    """Two layers over standardised inputs; probabilities at a fitted temperature."""
+    """Two layers over standardised inputs within the training rows' range; probabilities at a fitted temperature."""
 
     centre: np.ndarray
     spread: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
@@ -138,24 +129,35 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.centre) / self.spread @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh((np.clip(x, self.low, self.high) - self.centre) / self.spread @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.005, seed: int = 5) -> Network:
-    """Adam on the logistic loss with nine tenths of the rows, then the temperature on the rest by their likelihood."""
-    rng = np.random.default_rng(seed)
+def fitted_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+    """What the logits are to be divided by, by the likelihood of the labels; a weak prior holds it near one where rows are few."""
+    losses = {t: float(np.sum(np.logaddexp(0, logits / t) - labels * logits / t) + np.log(t) ** 2) for t in np.geomspace(1 / 16, 16, 97)}
+    return min(losses, key=losses.get)
+
+
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.003, seed: int = 5) -> Network:
+    """Adam on the logistic loss with nine tenths of the rows, then the temperature on the rest.
+
+    Without rows nothing says that a text is bad: every one gets 0.999.
+    """
     d = x.shape[1]
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
+    if not len(x):
+        return Network(np.zeros(d), np.ones(d), np.zeros(d), np.zeros(d), np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(999)))
+    rng = np.random.default_rng(seed)
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     params = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.array([np.log(share / (1 - share))])]
-    net = Network(x.mean(axis=0) if len(x) else np.zeros(d), np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(d), *params[:3], float(params[3][0]))
+    net = Network(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), x.min(axis=0), x.max(axis=0), *params[:3], float(params[3][0]))
     order = rng.permutation(len(x))
     aside, own = order[: len(order) // 10], order[len(order) // 10 :]
     z = (x - net.centre) / net.spread
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs if len(x) > 5000 else epochs * 4):
+    for _ in range(epochs):
         rng.shuffle(own)
         for at in range(0, len(own), batch):
             rows = own[at : at + batch]
@@ -169,10 +171,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate:
                 mean[i], square[i] = 0.9 * mean[i] + 0.1 * g, 0.999 * square[i] + 0.001 * g * g
                 params[i] = params[i] - rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.999**step)) + 1e-8)
     net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
-    if len(aside) >= 20:
-        raw, want = net.logits(x[aside]), y[aside]
-        losses = {t: float(np.mean(np.logaddexp(0, raw / t) - want * raw / t)) for t in np.geomspace(0.5, 5, 41)}
-        net.temperature = min(losses, key=losses.get)
+    net.temperature = fitted_temperature(net.logits(x[aside]), y[aside])
     return net
 
 
@@ -222,8 +221,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, target: str = "quality",
     """``(doc_id, held_out, score, predicted)`` for every row; null and empty texts get the score of no words.
 
     Scores depend on the text alone, so repeated rows score alike.  A null id
-    counts as held out.  No rows for an empty table; without labelled rows the
-    network is untrained and says about one half.
+    counts as held out.  No rows for an empty table.  Without labelled rows to
+    learn from every score is 0.999: nothing says that a text is bad.
     """
     own = docs.select("doc_id", "text")
     score = scorer(docs.sparkSession, train(own, labels, target))
@@ -232,6 +231,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, target: str = "quality",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier doesn't reject."""
+    """The rows of ``docs``, with all their columns, that the classifier doesn't reject.
+
+    Null texts are judged as empty ones, and each row by its own text: of
+    repeated rows or equal texts all stay or none.  Without labelled rows to
+    learn from all rows stay.  No rows for an empty table.
+    """
     score = scorer(docs.sparkSession, train(docs.select("doc_id", "text"), labels, target))
     return docs.withColumn("__plumbline_score", score(F.col("text"))).filter(F.col("__plumbline_score") >= threshold).drop("__plumbline_score")

@@ -301,6 +301,92 @@ def test_classifiers_hold_on_unseen_rows(spark, odd, none, module, target, least
     assert module.score_documents(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_factorisation_machine_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    model = toxicity.FactorisationMachine(np.arange(12, dtype=np.int32), rng.normal(0, 0.3, (13, toxicity.FACTORS + 1)).astype(np.float32))
+    model.params[-1, 1:] = 0
+    rows = [np.sort(rng.choice(12, n, replace=False)).astype(np.int32) for n in (0, 1, 5, 12, 0, 3)]
+    for row, got in zip(rows, model.score(rows)):
+        z = float(model.params[-1, 0]) + sum(float(model.params[i, 0]) for i in row)
+        z += sum(float(model.params[i, 1:] @ model.params[j, 1:]) for n, i in enumerate(row) for j in row[n + 1 :])
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    assert len(model.score([])) == 0
+
+
+def test_pairs_that_single_weights_miss(spark):
+    """Each of two insults is aimed at one group and banter in the other: no word tells anything alone, any sum of weights is at chance."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1600):
+        insult, group = rng.randrange(2), rng.randrange(2)
+        said = [f"f{rng.randrange(400)}" for _ in range(20)] + [("bleep", "blorp")[insult], ("martians", "venusians")[group]]
+        rng.shuffle(said)
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(insult == group)))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.score_documents(frame(spark, rows), known).collect()}
+    held = [i for i, r in found.items() if r.held_out]
+    assert auc([found[i].score for i in held], [labels[i][1] for i in held]) > 0.99
+    model = toxicity.train(frame(spark, rows), known)
+    find = toxicity.Terms(model.slots)
+    learned = [i for i in found if i not in held]
+    linear = np.zeros((len(rows), len(model.slots) + 1))
+    for i, text in rows:
+        linear[i, find(text.encode())] = linear[i, -1] = 1
+    y = np.array([y for _, y in labels], float)
+    weights = np.linalg.lstsq(linear[learned].T @ linear[learned] + np.eye(linear.shape[1]), linear[learned].T @ y[learned], rcond=None)[0]
+    assert auc((linear[held] @ weights).tolist(), y[held].tolist()) < 0.6
+
+
+def test_terms_that_tell_only_in_pairs_are_admitted(spark):
+    """Term 2 is in one of twenty rows of either label, and decides among the rows with term 1."""
+    rows = [(1, [1, 2])] * 100 + [(1, [3])] * 1900 + [(0, [1])] * 700 + [(0, [2])] * 100 + [(0, [4])] * 1200
+    table = spark.createDataFrame(rows, "label int, terms array<int>")
+    alone = spark.range(1).select(toxicity.gain(F.lit(100.0), F.lit(200.0), F.lit(2000.0), F.lit(4000.0))).first()[0]
+    assert alone == pytest.approx(0, abs=1e-9)
+    assert 2 in toxicity.admitted(table).tolist()
+    assert toxicity.admitted(table.limit(0)).tolist() == []
+
+
+def test_word_vectors_equal_a_count_of_neighbours(spark, odd):
+    texts = ["b a b c", "", "a", "c c a", WORDS]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(3)
+    places, signs = quality.index_vectors()
+    want = np.zeros((quality.WORDS + quality.SHAPES, quality.DIMS))
+    for text in texts:
+        for s, ids in enumerate(quality.Streams()(text.encode())):
+            for i, a in enumerate(ids.tolist()):
+                for b in [b for j, b in enumerate(ids.tolist()) if 0 < abs(i - j) <= quality.REACH]:
+                    want[a + s * quality.WORDS, places[b + s * quality.WORDS]] += signs[b + s * quality.WORDS]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.word_vectors(docs), want, atol=1e-6)
+    pooled = quality.pool(want.astype(np.float32), quality.Streams()(b"a c"))
+    own = quality.Streams()(b"a c")[0]
+    assert np.allclose(pooled[: quality.DIMS], want[own].mean(axis=0), atol=1e-6) and pooled[-1] == pytest.approx(math.log(3) / 4)
+    assert not quality.pool(want.astype(np.float32), quality.Streams()(None)).any()
+
+
+def test_temperature_and_range():
+    rng = np.random.default_rng(3)
+    logits = rng.normal(0, 6, 4000)
+    labels = (rng.random(4000) < 1 / (1 + np.exp(-logits / 3))).astype(float)
+    assert quality.fitted_temperature(logits, labels) == pytest.approx(3, rel=0.15)
+    assert quality.fitted_temperature(np.empty(0), np.empty(0)) == pytest.approx(1)
+    x = rng.normal(0, 1, (400, 5))
+    net = quality.fit(x, (x[:, 0] > 0).astype(float))
+    far, edge = x[:1] + 1000, np.maximum(x[:1], x.max(axis=0))
+    assert net.probabilities(far) == pytest.approx(net.probabilities(edge))  # beyond the training rows nothing is extrapolated
+    assert auc(net.probabilities(x).tolist(), (x[:, 0] > 0).tolist()) > 0.95
+
+
+def test_without_labels(spark, odd):
+    """Nothing is called toxic, and nothing is rejected."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.score_documents(odd, labels).collect()} == {0}
+    assert {r.predicted for r in quality.score_documents(odd, labels).collect()} == {1}
+    assert quality.keep_good(odd, labels).count() == len(ODD)
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
