@@ -7,20 +7,27 @@ same place in them.  The kept suffixes are sorted by their first ``key`` words
 over the whole corpus and neighbours are compared; a suffix without an equal
 neighbour can lie in no repeated window it stands for and goes.
 
-Matches are then extended left and right: every window that a surviving suffix
-stands for is given the hash of all its words and sorted against the others in
-the same way; windows that meet their like are repeated, and where they touch
-they are one passage.  That finds exactly the words that lie in a run of
-``least`` words standing at two places of the corpus or more.
-
-Both sorts range-partition on (hash, document, place), so however often a
-passage occurs its occurrences are spread over tasks, and only neighbours are
-ever compared: no group is gathered, no pairs are formed.
+The others are sorted lexicographically: by those words, by the words to the
+right of them, then by the words to the left, nearest first.  Neighbours are
+compared for the length they have in common to the right and to the left, so
+matches are extended both ways: a window that reaches so far to the left and so
+far to the right of its selected place is repeated if a suffix agrees that far
+on both sides.  Suffixes that agree to the right stand together; where their
+left sides differ they are sorted by these, and neighbours are compared again.
+Windows that touch are one passage.  That finds exactly the words that lie in a
+run of ``least`` words standing at two places of the corpus or more.
+
+Sorts range-partition on all their columns, down to document and place, so
+however often a passage occurs its occurrences are spread over tasks, and only
+neighbours are ever compared: no group is gathered, no pairs are formed.  The
+few groups of suffixes that a task sees only a part of, since they go on in the
+next, are settled by a sort of their windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, bytes_of, mix64, small_batches, stash
 
+#: Suffixes that a task extends at a time.
+BLOCK = 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
 SECOND = 0xC2B2AE3D27D4EB4F | 1
 
@@ -125,7 +134,7 @@ def compare_neighbours(rows: DataFrame, partitions: int) -> DataFrame:
             (a, b, doc, place), before, opening = pending
             yield emit(a, b, doc, place, np.array([before]), 3 if opening else 2)  # here it tells whether the row before is equal
 
-    found = stash(ordered.mapInArrow(run, "a long, b int, doc long, place int, first boolean, state int, part int"), "suffix-neighbours")
+    found = stash(ordered.mapInArrow(run, "a long, b long, doc long, place int, first boolean, state int, part int"), "suffix-neighbours")
     ends = found.filter("state > 0")
     # What other partitions hold of the same key: the first that ends with it, and the last that begins with it.
     met = ends.groupBy("a", "b").agg(F.min(F.expr("CASE WHEN state <> 1 THEN part END")).alias("closed"), F.max(F.expr("CASE WHEN state <> 2 THEN part END")).alias("opened"))
@@ -149,31 +158,197 @@ def sampled_suffixes(numbered: DataFrame, least: int, key: int) -> DataFrame:
                 docs.append(np.full(len(at), doc, np.int64))
             if keys:
                 place = np.concatenate(places).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.zeros(len(place), np.int32)), pa.array(np.concatenate(docs)), pa.array(place)], names=["a", "b", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.zeros(len(place), np.int64)), pa.array(np.concatenate(docs)), pa.array(place)], names=["a", "b", "doc", "place"])
 
-    return numbered.select("doc", "text").mapInArrow(run, "a long, b int, doc long, place int")
+    return numbered.select("doc", "text").mapInArrow(run, "a long, b long, doc long, place int")
 
 
-def extended_windows(with_places: DataFrame, least: int, key: int) -> DataFrame:
-    """``(a, b, doc, place)``: a 96-bit hash of each window that a surviving suffix of ``(doc, text, places)`` stands for."""
+def contexts(with_places: DataFrame, least: int, key: int) -> DataFrame:
+    """``(a, right, left, doc, place, low, high)`` of each surviving suffix of ``(doc, text, places)``.
+
+    ``a`` is the hash of its ``key`` words; ``right`` has 16 bits of each of
+    the ``least - key`` words behind them, ``left`` of those before, nearest
+    first; the windows it stands for begin ``low`` to ``high`` words before it.
+    """
+    reach = least - key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHashes()
         for batch in small_batches(batches, 1):
-            first, second, docs, places = [], [], [], []
-            for doc, text, alive in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist()):
+            keys, right, left, docs, places, lows, highs = [], [], [], [], [], [], []
+            for doc, text, alive in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2)):
                 words = hasher.words(text)
-                _, _, chosen = minimisers(words, least, key)
-                at = np.flatnonzero(np.isin(chosen, np.asarray(alive, np.int64)))
-                first.append(WordHashes.runs(words, least)[at])
-                second.append(WordHashes.runs(words, least, SECOND)[at])
-                places.append(at)
+                selected, hashes, chosen = minimisers(words, least, key)
+                at = np.sort(alive.values.to_numpy()).astype(np.int64)
+                codes = np.zeros(len(words) + 2 * reach, np.uint16)
+                codes[reach : reach + len(words)] = words >> np.uint64(48)
+                spans = np.lib.stride_tricks.sliding_window_view(codes, reach) if reach else np.zeros((len(codes) + 1, 0), np.uint16)
+                keys.append(hashes[np.searchsorted(selected, at)])
+                right.append(spans[at + reach + key])
+                left.append(spans[at][:, ::-1])
                 docs.append(np.full(len(at), doc, np.int64))
-            if first:
-                b = (np.concatenate(second) >> np.uint64(33)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(first))), pa.array(b), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))], names=["a", "b", "doc", "place"])
+                places.append(at)
+                highs.append(at - np.searchsorted(chosen, at))
+                lows.append(at - np.searchsorted(chosen, at, side="right") + 1)
+            if keys:
+                binary = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * reach), sum(map(len, x)), [None, pa.py_buffer(np.ascontiguousarray(np.concatenate(x)))]).cast(pa.binary()) for x in (right, left)]
+                ints = [pa.array(np.concatenate(x).astype(np.int32)) for x in (places, lows, highs)]
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), *binary, pa.array(np.concatenate(docs)), *ints], names=["a", "right", "left", "doc", "place", "low", "high"])
+
+    return with_places.select("doc", "text", "places").mapInArrow(run, "a long, right binary, left binary, doc long, place int, low int, high int")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many entries the rows of two tables have in common from the first on."""
+    unlike = np.concatenate([x != y, np.ones((len(x), 1), bool)], axis=1)
+    return unlike.argmax(axis=1)
+
+
+@dataclass
+class Suffixes:
+    """Some suffixes in their order, with the words around them."""
+
+    a: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Suffixes:
+        codes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (1, 2)]
+        return cls(batch.column(0).to_numpy(), *codes, *(batch.column(i).to_numpy() for i in range(3, 7)))
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.a, self.right, self.left, self.doc, self.place, self.low, self.high]
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    def __getitem__(self, at) -> Suffixes:
+        return Suffixes(*(c[at] for c in self.columns()))
+
+    def and_then(self, other: Suffixes) -> Suffixes:
+        return Suffixes(*map(np.concatenate, zip(self.columns(), other.columns())))
+
+    def extended(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix a bit for each number of words before it: whether the window that begins there is repeated, and whether it stands here first.
+
+        All suffixes of a group (of one ``a``) must be here.
+        """
+        n, reach = len(self), self.right.shape[1]
+        again, first = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if n < 2:
+            return again, first
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((self.place, self.doc))] = np.arange(n)
+        to_right = np.append(np.where(self.a[1:] == self.a[:-1], common(self.right[1:], self.right[:-1]), -1), -1)
+        by_left = None
+
+        def mark(rows: np.ndarray, like: np.ndarray, bit: int) -> None:
+            """``like``: whether a row's window equals the one of the row before."""
+            begins = np.flatnonzero(np.r_[True, ~like])
+            sizes = np.diff([*begins, len(rows)])
+            many = np.repeat(sizes, sizes) > 1
+            earliest = np.repeat(np.minimum.reduceat(rank[rows], begins), sizes)
+            again[rows[many]] |= 1 << bit
+            first[rows[many & (rank[rows] == earliest)]] |= 1 << bit
+
+        for before in range(reach + 1):
+            rows = np.flatnonzero((self.low <= before) & (before <= self.high))
+            if len(rows) < 2:
+                continue
+            together = np.minimum.reduceat(to_right, rows)[:-1] >= reach - before
+            like = together & (self.left[rows[1:], :before] == self.left[rows[:-1], :before]).all(axis=1)
+            run = np.r_[0, np.cumsum(~together)]
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[1:][together & ~like]] = True
+            some = mixed[run]
+            whole = np.flatnonzero(~some)
+            if len(whole):
+                mark(rows[whole], (np.diff(whole) == 1) & like[whole[1:] - 1], before)
+            if some.any():
+                # An order of the left sides, by a hash of their words; what counts is the words.
+                if by_left is None:
+                    by_left = np.cumsum(mix64(self.left.astype(np.uint64) + (np.arange(1, reach + 1, dtype=np.uint64) << np.uint64(32))), axis=1)
+                own, of = rows[some], run[some]
+                order = np.lexsort((by_left[own, before - 1], of))
+                own, of = own[order], of[order]
+                mark(own, (of[1:] == of[:-1]) & (self.left[own[1:], :before] == self.left[own[:-1], :before]).all(axis=1), before)
+        return again, first
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each window that these stand for, with its document and place."""
+        reach = self.right.shape[1]
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        sums = []
+        for base in (BASE, SECOND):
+            steps = np.arange(1, reach + 1, dtype=np.uint64) * np.uint64(base)
+            for codes, side in ((self.left, 1), (self.right, 2)):
+                each = mix64(codes.astype(np.uint64) + (steps << np.uint64(16)) + np.uint64(side << 62))
+                sums.append(np.concatenate([np.zeros((len(self), 1), np.uint64), np.cumsum(each, axis=1)], axis=1))
+        for before in range(reach + 1):
+            rows = np.flatnonzero((self.low <= before) & (before <= self.high))
+            key = self.a[rows].view(np.uint64)
+            for i, base in enumerate((BASE, SECOND)):
+                out[i].append(mix64(key * np.uint64(base) + sums[2 * i][rows, before] + mix64(sums[2 * i + 1][rows, reach - before])))
+            out[2].append(self.doc[rows])
+            out[3].append((self.place[rows] - before).astype(np.int32))
+        return _signed(np.concatenate(out[0])), _signed(np.concatenate(out[1])), np.concatenate(out[2]), np.concatenate(out[3])
+
+
+SETTLED = "a long, b long, doc long, place int, again int, first int"
+
+
+def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
+    """Sort the suffixes of :func:`contexts` and extend matches.
+
+    ``(doc, place, again, first)`` of those with a repeated window, as bits by
+    the words before them; and ``(a, b, doc, place)`` of the windows of groups
+    that lie in several tasks or blocks.
+    """
+    columns = ["a", "right", "left", "doc", "place"]
+    ordered = rows.repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_key = None, None
+
+        def settle(some: Suffixes, last_is_open: bool) -> Iterator[pa.RecordBatch]:
+            is_open = some.a == open_key
+            if last_is_open:
+                is_open |= some.a == some.a[-1]
+            closed, rest = some[~is_open], some[is_open]
+            again, first = closed.extended()
+            at = np.flatnonzero(again)
+            if len(at):
+                nothing = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(closed.doc[at]), pa.array(closed.place[at]), pa.array(again[at].astype(np.int32)), pa.array(first[at].astype(np.int32))], names=names)
+            for at in range(0, len(rest), BLOCK // 4):
+                a, b, doc, place = rest[at : at + BLOCK // 4].windows()
+                none = pa.array(np.zeros(len(a), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doc), pa.array(place), none, none], names=names)
 
-    return with_places.select("doc", "text", "places").mapInArrow(run, "a long, b int, doc long, place int")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = Suffixes.of(batch)
+            if open_key is None:
+                open_key = new.a[0]  # the task before may have the rest of this group
+            held = new if held is None else held.and_then(new)
+            if len(held) >= BLOCK:
+                cut = int(np.flatnonzero(held.a != held.a[-1])[-1]) + 1 if held.a[0] != held.a[-1] else len(held)
+                yield from settle(held[:cut], cut == len(held))
+                if cut == len(held):
+                    open_key = held.a[-1]
+                held = held[cut:]
+        if held is not None and len(held):
+            yield from settle(held, True)
+
+    names = [c.split()[0] for c in SETTLED.split(", ")]
+    found = stash(ordered.mapInArrow(run, SETTLED), "suffix-extended")
+    return found.filter("a is null").select("doc", "place", "again", "first"), found.filter("a is not null").select("a", "b", "doc", "place")
 
 
 def _stretches(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,17 +358,20 @@ def _stretches(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(found: DataFrame, least: int) -> DataFrame:
-    """Repeated windows to one row a document: its passages and the parts of them that repeat something earlier."""
-    rows = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("windows"))
+    """Repeated windows, ``(doc, place, again, first)`` by bits, to one row a document: its passages and the parts of them that repeat something earlier."""
+    rows = found.groupBy("doc").agg(F.collect_list(F.struct("place", "again", "first")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
             for windows in batch.column(1):
-                place = windows.values.field("place").to_numpy().astype(np.int64)
-                first = windows.values.field("first").to_numpy(zero_copy_only=False)
-                begin, end = _stretches(place, least)
-                later = place[~first]
+                place, again, first = (windows.values.field(c).to_numpy().astype(np.int64) for c in ("place", "again", "first"))
+                at, before = np.nonzero(again[:, None] >> np.arange(32) & 1)
+                begins = place[at] - before
+                order = begins.argsort()
+                begins, is_first = begins[order], (first[at] >> before & 1)[order] > 0
+                begin, end = _stretches(begins, least)
+                later = begins[~is_first]
                 cut_begin, cut_end = _stretches(later, least) if len(later) else (later, later)
                 for held, x in zip(out, (begin, end, cut_begin, cut_end)):
                     held.append(x)
@@ -207,15 +385,19 @@ def repeated_spans(numbered: DataFrame, least: int = 50, key: int = 20, partitio
 
     ``doc`` must be a unique long.  Spans are in words, ends exclusive; the cut
     spans are what remains to take away so that of equal windows only the one
-    first in (doc, place) order stays.
+    first in (doc, place) order stays.  Null texts, empty ones and those of
+    fewer than ``least`` words have no row; equal texts repeat each other from
+    end to end.  No rows for an empty table.
     """
-    if not 1 <= key <= least:
-        raise ValueError("the key must be no longer than a window")
+    if not 1 <= key <= least <= key + 30:
+        raise ValueError("a window has the key's words and at most 30 more")
     n = partitions or max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     suffixes = stash(sampled_suffixes(numbered, least, key), "suffix-sample")
     alive = compare_neighbours(suffixes, n).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    windows = stash(extended_windows(numbered.join(alive, "doc"), least, key), "suffix-windows")
-    return _spans(compare_neighbours(windows, n), least)
+    around = stash(contexts(numbered.join(alive, "doc"), least, key), "suffix-contexts")
+    settled, rest = extend(around, n)
+    others = compare_neighbours(rest, n).select("doc", "place", F.lit(1).alias("again"), F.col("first").cast("int").alias("first"))
+    return _spans(settled.unionByName(others), least)
 
 
 def numbered_rows(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
@@ -263,8 +445,11 @@ def cut_text(text: bytes, begins: list[int], ends: list[int]) -> bytes:
 def deduplicate(docs: DataFrame, least: int = 50, key: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with each repeated window left at its first place only, by id.
 
-    Documents without repeats stay as they are; a document of which no word is
-    left goes.  ``n_chars`` follows the text where there is such a column.
+    Documents without repeats stay as they are, null and empty texts among
+    them; a document of which no word is left goes, so of equal texts of
+    ``least`` words or more, and of repeated rows, one stays.  Rows count by
+    their place in the table where an id is null or repeated.  ``n_chars``
+    follows the text where there is such a column.  No rows for an empty table.
     """
     numbered, rows = numbered_rows(docs, id_column, text_column)
     spans = repeated_spans(numbered, least, key).filter(F.size("cut_begins") > 0).select(F.col("doc").alias("__plumbline_doc"), F.col("cut_begins").alias("__plumbline_from"), F.col("cut_ends").alias("__plumbline_to"))

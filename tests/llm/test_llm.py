@@ -153,6 +153,16 @@ def test_suffix_against_brute_force(spark, partitions):
     assert got == brute_passages(rows, 8)
 
 
+@pytest.mark.parametrize("block", [4, 40])
+def test_suffix_groups_that_no_task_sees_whole(spark, monkeypatch, block):
+    """One passage in all rows, with unlike words around it: its suffixes lie in many tasks and blocks, and matches of unlike length cross."""
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    rng = random.Random(block)
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, " ".join([*(rng.choice("uvw") for _ in range(rng.randint(0, 9))), passage, *(rng.choice("xyz") for _ in range(rng.randint(0, 9)))])) for i in range(90)]
+    assert sorted(map(tuple, suffix.repeated_passages(frame(spark, rows), 12, 4).collect()), key=repr) == brute_passages(rows, 12)
+
+
 def test_suffix_on_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.begin, r.n_words) for r in suffix.repeated_passages(odd).collect()}
     assert {(5, 0, 70), (6, 0, 70), (None, 0, 70), (7, 0, 300), (11, 0, 9000)} == got
