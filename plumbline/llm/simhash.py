@@ -8,15 +8,18 @@ one ball.  At most as many fingerprints meet at a value as its own ball holds
 (65 for r = 1), so no group can grow; each is linked to its group's least one
 and the pair is verified.  Connected components give the groups.
 
-Texts that share four fifths of their shingles differ by some ten bits, which
-no ball of a workable radius reaches.  For a similarity of shingles the balls
-are therefore put around the fingerprint's single bytes, among the texts that
-share a sampled shingle; colliding pairs are verified on all their shingles.
+Texts with a similarity of 0.8 differ by ten bits or more, which no ball of a
+workable radius reaches.  For a similarity of shingles the balls are therefore
+put around the fingerprint's single bytes, among the texts that share a sampled
+shingle; colliding pairs are verified on all their shingles.  The similarity is
+Jaccard's or the cosine of the two sets, which is what bits of fingerprints
+estimate: a bit differs with the probability of their angle in half turns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -185,9 +188,10 @@ def meetings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every byte emits its ball of radius one together with its sampled shingle,
     72 values in all; two texts meet where they share the shingle and their
-    bytes differ in two bits at most.  At similarity 0.8 a byte brings a pair
-    together with a probability of about 0.7, so all eight miss one in ten
-    thousands.  Rows of one signature emit one set of values, under the least
+    bytes differ in two bits at most.  At a Jaccard similarity of 0.8 a byte
+    brings a pair together with a probability of about 0.7, so all eight miss
+    one in ten thousands; at a cosine of 0.8 with one half, and they miss one in
+    three hundred.  Rows of one signature emit one set of values, under the least
     doc ``u``.  At a value ``u`` is the least doc, found by partial
     aggregation, so rows per value may grow.
     """
@@ -210,13 +214,29 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(left, "u", "left").join(right, "v", "left").filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
 
 
-def overlaps(rooted: DataFrame, size: int, similarity: float) -> DataFrame:
+@dataclass(frozen=True)
+class Bar:
+    """The least similarity of two sets of ``n`` and ``m`` shingles, as what they must have in common; all arguments may be numbers, arrays or columns."""
+
+    similarity: float = 0.8
+    cosine: bool = False
+
+    def needed(self, n, m, root=np.sqrt):
+        """The least common shingles of two sets that are alike."""
+        return self.similarity * root(n * m) if self.cosine else self.similarity / (1 + self.similarity) * (n + m)
+
+    def least(self, n):
+        """The least common shingles of a set with any set like it."""
+        return (self.similarity**2 if self.cosine else self.similarity) * n
+
+
+def overlaps(rooted: DataFrame, size: int, bar: Bar) -> DataFrame:
     """``(u, v)`` with ``u < v`` of ``(doc, root, text)``: all pairs of different roots that can be similar enough, and few others.
 
     Prefix filtering (Chaudhuri et al. 2006) with positions (Xiao et al. 2008):
-    under any one order of shingles, two similar sets share one of their first
-    ``n - similarity * n + 1``, early enough in both to leave room for the
-    overlap they need.  Shingles of rare buckets come first, so what many texts
+    under any one order of shingles, two similar sets share one of their first,
+    as many as leave too few behind them for what a similar set has in common,
+    early enough in both to leave room for the overlap they need.  Shingles of rare buckets come first, so what many texts
     share is hardly among them.  No pair is missed, whatever the counts are.
     """
 
@@ -241,7 +261,7 @@ def overlaps(rooted: DataFrame, size: int, similarity: float) -> DataFrame:
                 found = shingle_set(text, size)
                 n = len(found)
                 if n:
-                    order = np.lexsort((found, shared.value[(found % np.uint64(COUNTERS)).astype(np.int64)]))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+                    order = np.lexsort((found, shared.value[(found % np.uint64(COUNTERS)).astype(np.int64)]))[: n - int(np.ceil(bar.least(n) - 1e-6)) + 1]
                     shingles.append(found[order].view(np.int64))
                     owner.append(np.full(len(order), i))
                     place.append(np.arange(len(order)))
@@ -254,12 +274,12 @@ def overlaps(rooted: DataFrame, size: int, similarity: float) -> DataFrame:
     # Written, so that the join deals both sides anew and a shingle with many rows can be split.
     left = stash(rooted.mapInArrow(begin, "shingle long, u long, p long, i long, n long"), "similar-prefixes")
     right = left.select("shingle", F.col("u").alias("v"), F.col("p").alias("q"), F.col("i").alias("j"), F.col("n").alias("m"))
-    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= bar.needed(F.col("n"), F.col("m"), F.sqrt) - 1e-6
     return left.join(right, "shingle").filter((F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & room).select("u", "v").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``(u, v)`` whose sets of shingles have that Jaccard similarity or more; two texts without words are alike."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, bar: Bar) -> DataFrame:
+    """Those of ``(u, v)`` whose sets of shingles have that similarity or more; two texts without words are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, left = None, np.empty(0, np.uint64)
@@ -270,8 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                     known, left = u, shingle_set((a.as_py() or "").encode(), size)
                 right = shingle_set((b.as_py() or "").encode(), size)
                 both = len(np.intersect1d(left, right, assume_unique=True))
-                union = len(left) + len(right) - both
-                alike.append(both >= similarity * union - 1e-9)
+                alike.append(both >= bar.needed(len(left), len(right)) - 1e-9 and (both > 0 or not len(left) + len(right)))
             at = np.flatnonzero(alike)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["u", "v"])
 
@@ -281,7 +300,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return whole.mapInArrow(run, "u long, v long")
 
 
-def similar_links(numbered: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_links(numbered: DataFrame, size: int = 5, bar: Bar = Bar()) -> DataFrame:
     """``(u, v)``: links between rows of ``(doc, text)`` that are similar enough; their components are the groups.
 
     First each row is compared with the least of the rows it meets, then with
@@ -298,7 +317,7 @@ def similar_links(numbered: DataFrame, size: int = 5, similarity: float = 0.8) -
     def compared(some: DataFrame, name: str) -> DataFrame:
         involved = some.select(F.col("u").alias("doc")).unionByName(some.select(F.col("v").alias("doc"))).distinct()
         texts = stash(numbered.select("doc", "text").join(involved, "doc", "left_semi"), f"{name}-texts")
-        return stash(verified(some, texts, size, similarity), name)
+        return stash(verified(some, texts, size, bar), name)
 
     tried = stash(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "similar-tried")
     first = compared(tried, "similar-first")
@@ -316,18 +335,21 @@ def similar_links(numbered: DataFrame, size: int = 5, similarity: float = 0.8) -
     few = few.join(few.select("variant", F.col("doc").alias("v"), F.col("root").alias("q")), "variant").filter("doc < v and root <> q").select(F.col("doc").alias("u"), "v").distinct()
     crowd = rows.filter(F.col("n") > CROWD).select("doc", "root").distinct()
     crowded = stash(numbered.select("doc", "text").join(crowd, "doc").select("doc", "root", "text"), "similar-crowded")
-    rest = few.unionByName(overlaps(crowded, size, similarity)).distinct().join(pairs, ["u", "v"], "left_anti")
+    rest = few.unionByName(overlaps(crowded, size, bar)).distinct().join(pairs, ["u", "v"], "left_anti")
     return second.unionByName(compared(stash(rest, "similar-rest"), "similar-third"))
 
 
-def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", cosine: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group that links of similar shingle sets connect.
 
+    Similarity is Jaccard's, or the cosine of the two sets.  At a cosine of 0.8
+    sets of one size have a Jaccard similarity of two thirds.
+
     It is the row with the least id, or the first row where an id is null or
     repeated.  Null texts are empty; texts without words are alike.  An empty
     table gives no rows.
     """
     numbered, rows = numbered_rows(docs, id_column, text_column)
-    groups = connected_components(similar_links(numbered, size, similarity))
+    groups = connected_components(similar_links(numbered, size, Bar(similarity, cosine)))
     gone = groups.filter("node <> root").select(F.col("node").alias("__plumbline_doc"))
     return rows.join(gone, "__plumbline_doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -479,7 +479,8 @@ def test_lm_learns_from_context():
     assert (of_far[f, w] + of_near[n, w] - normaliser[f, n]).mean() > math.log(1 / 8) + 0.5
 
 
-def test_similar_texts_equal_brute_force(spark, odd, none):
+@pytest.mark.parametrize("cosine", [False, True])
+def test_similar_texts_equal_brute_force(spark, odd, none, cosine):
     """One text of each group at five words and 0.8, against all pairs; planted copies with changed words."""
     rng = random.Random(9)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
@@ -503,11 +504,11 @@ def test_similar_texts_equal_brute_force(spark, odd, none):
 
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            union = len(sets[a] | sets[b])
-            if not union or len(sets[a] & sets[b]) >= 0.8 * union - 1e-9:
+            union, both = len(sets[a] | sets[b]), len(sets[a] & sets[b])
+            if not union or both and both >= 0.8 * (math.sqrt(len(sets[a]) * len(sets[b])) if cosine else union) - 1e-9:
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
-    kept = simhash.deduplicate_similar(frame(spark, rows))
+    kept = simhash.deduplicate_similar(frame(spark, rows), cosine=cosine)
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in ids if find(i) == i]
     assert simhash.deduplicate_similar(none).count() == 0
