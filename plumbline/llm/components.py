@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps (Kiveris et al. 2014) with a
 union-find inside every partition before them.  Each round's edges are written
 to the shared folder, so lineage stays short and a lost executor repeats one
-round at most.  Nothing is gathered to the driver but two counts a round.
+round at most; what no later round reads is deleted.  Nothing is gathered to
+the driver but whether a round was the last.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 #: Edges that one union-find holds; a partition with more is contracted piece by piece.
 BLOCK = 1 << 20
@@ -71,14 +72,17 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     a, b = F.col(left), F.col(right)
     now = edges.filter(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
     while True:
-        now = stash(now.mapInArrow(_contract, "v long, u long"), "components")
+        now, before = stash(now.mapInArrow(_contract, "v long, u long"), "components"), now
+        discard(before)
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         # The minima are written, so that the joins deal both sides anew and the edges of one node can be split.
         near = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-near")
         large = stash(both.filter("b > a").join(near, "a").select(F.col("b").alias("v"), F.col("m").alias("u")).distinct(), "components-large")
         least = stash(large.groupBy("v").agg(F.min("u").alias("m")), "components-least")
         small = large.join(least, "v")
+        contracted = now
         now = stash(small.select("v", F.col("m").alias("u")).unionByName(small.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct(), "components")
+        discard(contracted, near, large, least)
         inner = now.select("u").distinct().join(now.select(F.col("v").alias("u")), "u", "left_semi")
         split = now.groupBy("v").count().filter("count > 1")
         if inner.isEmpty() and split.isEmpty():  # every node hangs from one root: stars
