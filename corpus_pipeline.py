@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share four fifths of their five-word shingles the document with the least id stays."""
-    return simhash.deduplicate_similar(docs)
+    """Of texts whose sets of five-word shingles have a cosine of 0.8 or more the document with the least id stays."""
+    return simhash.deduplicate_similar(docs, cosine=True)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
