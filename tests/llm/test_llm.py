@@ -94,11 +94,44 @@ def test_packing(spark, none):
     docs = {i: np.frombuffer(own.encode((t or "").encode()) + b"\1\0\0\0", "<u4") for i, t in rows}
     for limits in (packing.Limits(), packing.Limits(64, 4, 50)):
         sizes = pack_check(packing.pack_documents(frame(spark, rows), PATH, limits=limits, pool_size=16).collect(), docs, limits)
-        if limits.segments > 100:
-            assert all(n == 2048 or n & (n - 1) == 0 for n in sizes)
+        assert all(n == limits.tokens or n & (n - 1) == 0 for n in sizes)
     assert packing.pack_documents(none, PATH).count() == 0
 
 
+def test_short_texts_are_not_padded(spark):
+    """Segments run out long before tokens do: 256 texts of three ids are 768 ids, so sequences of 512 are made."""
+    rows = [(i, "of it") for i in range(2000)]
+    docs = {i: np.frombuffer(bpe.encoder(PATH).encode(b"of it") + b"\1\0\0\0", "<u4") for i, _ in rows}
+    sizes = pack_check(packing.pack_documents(frame(spark, rows), PATH).collect(), docs, packing.Limits())
+    assert all(n & (n - 1) == 0 for n in sizes) and max(sizes) == 512
+
+
+def test_packing_of_conversations(spark):
+    """What op7 formats, packed under limits of which the loss binds; loss tokens are those of the replies and their ends."""
+    turns = [(c, t, ("user", "assistant")[t % 2], " ".join(f"w{c}" for _ in range(c % 7 + 3 * t))) for c in range(40) for t in range(1 + c % 4)]
+    found = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    limits, own = packing.Limits(128, 16, 24), bpe.encoder(PATH)
+    rows = packing.pack_examples(found, PATH, limits=limits, pool_size=16).collect()
+    sequences, by_example = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        by_example.setdefault((r.conv_id, r.example), []).append(r)
+    for own_rows in sequences.values():
+        held = sum(r.length for r in own_rows)
+        assert held <= 128 and held & (held - 1) == 0 and len(own_rows) <= 16 and sum(r.loss_tokens for r in own_rows) <= 24
+    assert max(sum(r.loss_tokens for r in x) for x in sequences.values()) == 24
+    for e in found.collect():
+        parts = [np.frombuffer(own.encode(x.encode()), "<u4") for x in (e.formatted[: e.loss_begin], e.formatted[e.loss_begin : e.loss_end], e.formatted[e.loss_end :])]
+        ids = np.concatenate([*parts, np.array([1], "<u4")])
+        pieces = sorted(by_example.pop((e.conv_id, e.example)), key=lambda r: r.start)
+        assert [r.start for r in pieces] == [sum(x.length for x in pieces[:i]) for i in range(len(pieces))] and sum(r.length for r in pieces) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces)
+        assert sum(r.loss_tokens for r in pieces) == len(parts[1]) + (e.loss_end > e.loss_begin)
+    assert not by_example
+    odd_rows = spark.createDataFrame([(1, 0, None, None, None), (None, 1, "a b", 0, 3), (None, 1, "a b", 0, 3)], found.schema)
+    assert packing.pack_examples(odd_rows, PATH).filter("start = 0").count() == 3 and packing.pack_examples(odd_rows.limit(0), PATH).count() == 0
+
+
 def test_packer_keeps_all_three_limits():
     rng, limits = random.Random(2), packing.Limits(100, 5, 40)
     packer = packing.VectorPacker(limits, 32, cuttable=False)
