@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Any
 
-from .lexer import tokenize
 from .parser import Node, Parser
 
 FUNCTIONS = frozenset(("method", "constructor", "compact", "lambda"))
@@ -30,44 +29,47 @@ def cognitive(function: Node) -> int:
 
     A body or condition is entered by its children, so a structure that is
     itself the body (no braces), the branch of a conditional or the bare
-    condition of a ``for`` isn't counted.
+    condition of a ``for`` isn't counted.  Nodes wait on a stack with their
+    depth, so nesting has no limit.
     """
-    return min(_children(function, 0), MOST_COMPLEXITY)
-
-
-def _children(node: Node, depth: int) -> int:
-    return sum(_visit(child, depth, node) for child in node.children)
-
-
-def _visit(node: Node, depth: int, parent: Node) -> int:
-    kind = node.kind
-    if kind in FUNCTIONS:
-        return 0
-    if kind == "if":
-        return _if(node, depth)
-    if kind in LOOPS or kind in ("switch", "catch"):
-        body = node.parts.get("body")
-        return 1 + depth + sum(_children(c, depth + (c is body)) for c in node.children)
-    if kind == "ternary":
-        return 1 + depth + sum(_children(part, depth + (name != "condition")) for name, part in node.parts.items())
-    if kind == "jump":
-        return int(bool(node.name))
-    if kind == "logic":
-        return int(not (parent.kind == "logic" and parent.name == node.name)) + _children(node, depth)
-    return _children(node, depth)
+    total, stack = 0, [(child, 0, function) for child in function.children]
+    while stack:
+        node, depth, parent = stack.pop()
+        kind = node.kind
+        if kind in FUNCTIONS:
+            continue
+        entered = [(node, depth)]  # whose children come next, and how deep they stand
+        if kind == "if":
+            cost, entered = _if(node, depth)
+            total += cost
+        elif kind in LOOPS or kind in ("switch", "catch"):
+            total += 1 + depth
+            body = node.parts.get("body")
+            entered = [(c, depth + (c is body)) for c in node.children]
+        elif kind == "ternary":
+            total += 1 + depth
+            entered = [(part, depth + (name != "condition")) for name, part in node.parts.items()]
+        elif kind == "jump":
+            total += bool(node.name)
+            continue
+        elif kind == "logic":
+            total += not (parent.kind == "logic" and parent.name == node.name)
+        stack += [(child, deep, own) for own, deep in entered for child in own.children]
+    return min(total, MOST_COMPLEXITY)
 
 
-def _if(node: Node, depth: int) -> int:
-    total, chained = 0, False
+def _if(node: Node, depth: int) -> tuple[int, list[tuple[Node, int]]]:
+    """The cost of a ladder of conditions, and the parts whose children come next."""
+    total, entered = 1 + depth, []
     while True:
-        total += 1 if chained else 1 + depth
-        total += _children(node.parts["condition"], depth) + _children(node.parts["consequence"], depth + 1)
+        entered += [(node.parts["condition"], depth), (node.parts["consequence"], depth + 1)]
         other = node.parts.get("alternative")
         if other is None:
-            return total
+            return total, entered
+        total += 1
         if other.kind != "if":
-            return total + 1 + _children(other, depth + 1)
-        node, chained = other, True
+            return total, [*entered, (other, depth + 1)]
+        node = other
 
 
 def _functions(root: Node) -> list[dict[str, Any]]:
@@ -80,14 +82,15 @@ def _functions(root: Node) -> list[dict[str, Any]]:
     return out
 
 
-def _types(node: Node, enclosing: list[str], out: list[dict[str, Any]]) -> None:
-    for child in node.children:
-        if child.kind == "type" and child.name:
-            own = [*enclosing, child.name]
-            out.append({"fqn": ".".join(own), "simple": child.name, "line": child.line, "is_public": "public" in child.modifiers})
-            _types(child, own, out)
-        else:
-            _types(child, enclosing, out)
+def _types(root: Node, enclosing: list[str]) -> list[dict[str, Any]]:
+    out, stack = [], [(child, enclosing) for child in reversed(root.children)]
+    while stack:
+        node, around = stack.pop()
+        if node.kind == "type" and node.name:
+            around = [*around, node.name]
+            out.append({"fqn": ".".join(around), "simple": node.name, "line": node.line, "is_public": "public" in node.modifiers})
+        stack += [(child, around) for child in reversed(node.children)]
+    return out
 
 
 def _exports(root: Node) -> list[dict[str, Any]]:
@@ -114,23 +117,20 @@ def split_imports(texts: list[str]) -> tuple[list[str], list[str], list[str]]:
 
 
 def parse_file(path: str, source: str) -> dict[str, Any]:
-    """One row of the files table."""
+    """One row of the files table; of a file nested beyond all measure only the names and lines."""
     parser = Parser(source)
-    root = parser.unit()
+    root = parser.unit_or_none() or Node("unit", 1)
     package = next((n.name for n in root.children if n.kind == "package"), "")
     plain, wild, static = split_imports([n.name for n in root.children if n.kind == "import"])
-    types: list[dict[str, Any]] = []
-    _types(root, [package] if package else [], types)
-    names = {t.text for t in tokenize(source) if t.kind == "id"}
     return {
         "path": path,
         "package": package,
         "imports": plain,
         "wildcard_imports": wild,
         "static_imports": static,
-        "types": types,
+        "types": _types(root, [package] if package else []),
         "referenced": sorted(set(parser.type_names) | set(parser.annotation_names)),
-        "used_names": sorted(names),
+        "used_names": sorted({t.text for t in parser.t if t.kind == "id"}),
         "annotations": sorted(set(parser.annotation_names)),
         "exports": _exports(root),
         "functions": _functions(root),

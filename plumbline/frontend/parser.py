@@ -4,10 +4,15 @@ It descends recursively over declarations, statements and expressions and
 builds one kind of node.  Expressions keep what metrics need (conditionals,
 logical operators, parentheses, lambdas, switches, class bodies); anything
 else is a plain node around its parts.  A token that fits nowhere is skipped.
+
+The descent is as deep as the text is nested.  Calls between Python functions
+take no room on the C stack, so :meth:`Parser.unit_or_none` lets it go down
+:data:`DEEPEST` frames; a file beyond that has no tree.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 from .lexer import PRIMITIVES, Token, tokenize
@@ -17,6 +22,8 @@ TYPE_WORDS = frozenset("class interface enum record @interface".split())
 ASSIGN = frozenset("= += -= *= /= &= |= ^= %= <<= >>= >>>=".split())
 BINARY = frozenset("== != <= >= < > + - * / & | ^ % << >> >>>".split())
 CLOSERS = frozenset(") ] } ; , :".split())
+#: Frames of one descent, of which a level of parentheses takes eight; some 100 MB at most.
+DEEPEST = 200_000
 
 
 @dataclass
@@ -46,6 +53,34 @@ class Parser:
         self.i = 0
         self.type_names: list[str] = []
         self.annotation_names: list[str] = []
+        self._arrow_after = self._parentheses_before_arrows()
+
+    def _parentheses_before_arrows(self) -> set[int]:
+        """Where parentheses open that close before an arrow, with no statement between."""
+        found, opened = set(), []
+        for i, t in enumerate(self.t):
+            if t.kind != "op":
+                continue
+            if t.text == "(":
+                opened.append(i)
+            elif t.text == ")" and opened:
+                begin = opened.pop()
+                if i + 1 < len(self.t) and self.t[i + 1].text == "->":
+                    found.add(begin)
+            elif t.text in (";", "{", "}"):
+                opened.clear()
+        return found
+
+    def unit_or_none(self) -> Node | None:
+        """The whole file, or None if it is nested too deeply."""
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, DEEPEST))
+        try:
+            return self.unit()
+        except RecursionError:
+            return None
+        finally:
+            sys.setrecursionlimit(limit)
 
     # --- the token stream ---
 
@@ -606,21 +641,7 @@ class Parser:
     def lambda_ahead(self) -> bool:
         if self.t[self.i].kind == "id" and self.ahead().text == "->":
             return True
-        if not self.at("("):
-            return False
-        depth, i = 0, self.i
-        while i < len(self.t):
-            text, kind = self.t[i].text, self.t[i].kind
-            if kind == "end" or kind == "op" and text in (";", "{", "}"):
-                return False
-            if kind == "op" and text == "(":
-                depth += 1
-            elif kind == "op" and text == ")":
-                depth -= 1
-                if not depth:
-                    return self.t[i + 1].text == "->"
-            i += 1
-        return False
+        return self.i in self._arrow_after and self.at("(")
 
     def lambda_(self) -> Node:
         node = self.node("lambda")

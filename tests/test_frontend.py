@@ -65,3 +65,28 @@ def test_any_input_is_survived():
     rng = random.Random(3)
     for _ in range(1500):
         parse_file("x", " ".join(rng.choice(words) for _ in range(rng.randint(0, 40))))
+
+
+def body(text):
+    return "class A { int n(int a) { " + text + " } int last() { return a && b ? 1 : 2; } }"
+
+
+def test_nesting_has_no_limit():
+    assert metrics(body("return " + "(" * 4000 + "a" + ")" * 4000 + ";"))["n"]["cyclomatic"] == 1
+    assert metrics(body("{" * 5000 + "if (a) { }" + "}" * 5000))["n"]["cognitive"] == 1
+    assert metrics(body("return " + " && ".join(["a"] * 30_000) + ";"))["n"]["cyclomatic"] == 30_000
+    assert metrics(body("".join(f"if (a == {i}) {{ }} else " for i in range(5000)) + "{ }"))["n"]["cognitive"] == 5001
+    assert metrics(body("return " + "".join(f"a == {i} ? {i} : " for i in range(4000)) + "0;"))["n"]["cyclomatic"] == 4001
+    deep = metrics(body("if (a) { " * 3000 + "}" * 3000))
+    assert (deep["n"]["cognitive"], deep["last"]["cognitive"]) == (min(3000 * 3001 // 2, 65535), 1)
+    assert metrics("class A { int n() { " + "class B { int m() { " * 1500 + "} }" * 1500 + " } }")["n"]["line_count"] == 1
+
+
+def test_a_file_beyond_all_measure_has_a_row():
+    row = parse_file("x", "package p; class A { int n() { return " + "(" * 100_000 + "; } }\n")
+    assert (row["functions"], row["types"], row["line_count"]) == ([], [], 2) and "A" in row["used_names"]
+
+
+def test_lambdas_in_parentheses():
+    found = parse_file("x", "class A { void n() { f((a, b) -> a, (c), () -> { if (d) { } }); g((x) + (y)); } }")["functions"]
+    assert sorted((f["name"], f["param_count"]) for f in found) == [("<lambda>", 0), ("<lambda>", 2), ("n", 0)]
