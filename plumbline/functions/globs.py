@@ -7,14 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-META = frozenset("*?[]{}!")
+META = frozenset("*?[{")
 
 
 def expand(pattern: str) -> list[str]:
     """A bare name stands for itself and all below it, anywhere; a pattern with wildcards or a leading slash is taken as written."""
     if pattern.startswith("/") or META & set(pattern):
         return [pattern.lstrip("/")]
-    return [pattern, f"{pattern}/**", f"**/{pattern}/**", f"**/{pattern}"]
+    name = pattern.strip("/")
+    return [name, f"{name}/**", f"**/{name}/**", f"**/{name}"]
 
 
 def to_regex(glob: str) -> str:

@@ -49,6 +49,21 @@ def is_root(path: Column, annotations: Column, functions: Column) -> Column:
     return is_test_path(path) | F.exists(functions, lambda f: f["name"] == "main") | F.arrays_overlap(annotations, F.array(*map(F.lit, ENTRY_ANNOTATIONS)))
 
 
+def file_facts(files: DataFrame) -> DataFrame:
+    """One row a file: lines, branches per line, its hardest function, counts, and whether it is an entry point or holds a public type."""
+    f = F.col("functions")
+    return files.select(
+        "path",
+        F.col("line_count").alias("lines"),
+        F.when(F.col("line_count") > 0, F.aggregate(f, F.lit(0).cast("long"), lambda s, x: s + x["cyclomatic"]) / F.col("line_count")).otherwise(0.0).alias("density"),
+        F.coalesce(F.array_max(F.transform(f, lambda x: x["cognitive"])), F.lit(0)).alias("max_cognitive"),
+        F.size("functions").alias("function_count"),
+        F.size("exports").alias("export_count"),
+        is_root(F.col("path"), F.col("annotations"), f).alias("is_root"),
+        F.exists("types", lambda t: t["is_public"]).alias("is_public"),
+    )
+
+
 def with_fallback_roots(nodes: DataFrame) -> DataFrame:
     """``(id, is_root, is_public)``: if there is no root at all, what is public is one."""
     some = nodes.agg(F.coalesce(F.bool_or("is_root"), F.lit(False)).alias("some"))

@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         except (RuntimeError, OSError) as e:
             print(f"no history ({e})", file=sys.stderr)
     deps = history.dependencies(spark, project) if a.command == "deps" else None
-    scan = Scan(sources, log, config, shown, deps)
+    scan = Scan(sources, log, config, shown, deps, str(root))
     print(render(scan, a.command))
     failed = scan.gates(COMMANDS[a.command]).filter("failed").collect()
     for row in failed:

@@ -15,7 +15,7 @@ from ..operators.filters import ReportFilter
 from ..operators.gates import gates
 from ..operators.ranking import grouped_top, top
 from ..runtime import stash
-from ..sources.files import parse_sources, tokenize_sources
+from ..sources.files import line_counts, parse_sources, tokenize_sources
 
 
 @dataclass
@@ -27,6 +27,7 @@ class Scan:
     config: Config = Config()
     shown: ReportFilter | None = None
     dependency_rows: DataFrame | None = None
+    root: str | None = None  # of the working copy, where files that aren't among the sources are counted
 
     def __post_init__(self):
         self.shown = self.shown or ReportFilter(self.config.skip_patterns)
@@ -47,17 +48,7 @@ class Scan:
 
     @cached_property
     def facts(self) -> DataFrame:
-        f = F.col("functions")
-        own = self.files.select(
-            "path",
-            F.col("line_count").alias("lines"),
-            F.when(F.col("line_count") > 0, F.aggregate(f, F.lit(0).cast("long"), lambda s, x: s + x["cyclomatic"]) / F.col("line_count")).otherwise(0.0).alias("density"),
-            F.coalesce(F.array_max(F.transform(f, lambda x: x["cognitive"])), F.lit(0)).alias("max_cognitive"),
-            F.size("functions").alias("function_count"),
-            F.size("exports").alias("export_count"),
-            graph.is_root(F.col("path"), F.col("annotations"), f).alias("is_root"),
-            F.exists("types", lambda t: t["is_public"]).alias("is_public"),
-        )
+        own = graph.file_facts(self.files)
         nodes = own.select(F.col("path").alias("id"))
         found = graph.degrees(nodes, self.edges).withColumnRenamed("id", "path")
         roots = graph.with_fallback_roots(own.select(F.col("path").alias("id"), "is_root", "is_public")).withColumnRenamed("id", "path")
@@ -68,7 +59,12 @@ class Scan:
         if self.log is None:
             return self.files.sparkSession.createDataFrame([], "file string, score double, weighted_commits double, total_commits long, loc long, churn_lines long, density double, fan_in long, trend string")
         as_of = self.config.as_of if self.config.as_of is not None else int(time.time())
-        return churn.hotspots(churn.churn(self.log, as_of), self.facts.withColumn("loc", F.col("lines")), self.config.min_commits)
+        changed = churn.churn(self.log, as_of)
+        metrics = self.facts.select("path", "density", F.col("lines").cast("long").alias("loc"), "fan_in")
+        if self.root is not None:
+            others = line_counts(changed.join(metrics, "path", "left_anti"), self.root)
+            metrics = metrics.unionByName(others.select("path", F.lit(0.0).alias("density"), "loc", F.lit(0).cast("long").alias("fan_in")))
+        return churn.hotspots(changed, metrics, self.config.min_commits)
 
     @cached_property
     def _members(self) -> DataFrame:

@@ -7,18 +7,20 @@ orders and documents stand in for files.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.globs import compile_all, skipped
+from .functions.globs import skipped
 from .functions.scalar import base_name, counted, efficiency_band, epoch, line_count, option_entries, relative, rounded, score_band, topic_key, valid_ref
 from .operators import churn, clones, exports, functions, graph, intervals, ranking, targets, textlog
 from .operators.filters import ReportFilter
 from .operators.gates import gates
 from .plans.topics import find, topics
-from .sources.files import parse_sources
+from .runtime import stash
+from .sources.files import parse_sources, tokenize_sources
 from .streaming.churn import daily_counts, decayed
 
 AS_OF = 1_706_745_600
@@ -152,70 +154,84 @@ def text_line_counts(spark, sf_dir):
 
 
 @query(
-    """WITH used AS (SELECT DISTINCT l_suppkey AS path, l_orderkey AS name FROM lineitem WHERE l_linenumber = 1),
-ex AS (SELECT CASE WHEN s % 11 = 0 THEN 'src/test/s' ELSE 'src/s' END || s AS path, n AS name, (n % 97)::INT AS line FROM (SELECT DISTINCT l_suppkey AS s, l_orderkey AS n FROM lineitem WHERE l_linenumber <= 2)),
+    """WITH used AS (SELECT DISTINCT l_suppkey AS path, l_orderkey AS name FROM lineitem WHERE l_returnflag = 'R'),
+ex AS (SELECT CASE WHEN s % 11 = 0 THEN 'src/test/s' ELSE 'src/s' END || s AS path, n AS name, (n % 97)::INT AS line FROM (SELECT DISTINCT l_suppkey AS s, l_orderkey AS n FROM lineitem)),
 us AS (SELECT CASE WHEN path % 11 = 0 THEN 'src/test/s' ELSE 'src/s' END || path AS path, name FROM used)
 SELECT path, name, line FROM ex WHERE NOT contains('/' || path, '/test/') AND NOT EXISTS (SELECT 1 FROM us WHERE us.name = ex.name AND us.path <> ex.path)"""
 )
 def unused_exports(spark, sf_dir):
+    """Suppliers as files: they declare the orders of all their items and name those of which an item came back."""
     line = table(spark, sf_dir, "lineitem")
     path = F.concat(F.when(F.col("s") % 11 == 0, "src/test/s").otherwise("src/s"), F.col("s").cast("string"))
-    rows = line.select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("name"), "l_linenumber")
-    declared = rows.filter("l_linenumber <= 2").select("s", "name").distinct().select(path.alias("path"), "name", F.pmod("name", F.lit(97)).cast("int").alias("line"))
-    used = rows.filter("l_linenumber = 1").select("s", "name").distinct().select(path.alias("path"), "name")
+    rows = line.select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("name"), "l_returnflag")
+    declared = rows.select("s", "name").distinct().select(path.alias("path"), "name", F.pmod("name", F.lit(97)).cast("int").alias("line"))
+    used = rows.filter("l_returnflag = 'R'").select("s", "name").distinct().select(path.alias("path"), "name")
     return exports.unused_exports(declared, used)
 
 
-# --- the graph: consecutive parts of orders ---
+# --- the graph: orders as files; each leads to its customer's next, a finished one back to the customer's first ---
 
 
 def _edges(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-    return pairs.filter("dst is not null and src <> dst and src div 100 = dst div 100").distinct()
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    ahead = F.lead("o_orderkey").over(w)
+    back = F.when(F.col("o_orderstatus") == "F", F.first("o_orderkey").over(w))
+    pairs = own.select(F.col("o_orderkey").alias("src"), ahead.alias("ahead"), back.alias("back")).select("src", F.explode(F.array("ahead", "back")).alias("dst"))
+    return pairs.filter("dst is not null and src <> dst").distinct()
 
 
-EDGES_SQL = """pairs AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
-edges AS (SELECT DISTINCT src, dst FROM pairs WHERE dst IS NOT NULL AND src <> dst AND src // 100 = dst // 100)"""
+def _nodes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50 + 1).alias("size"), F.col("o_orderpriority").alias("package"), (F.col("o_orderpriority") == "1-URGENT").alias("is_root"))
 
 
-@query(f"WITH {EDGES_SQL} SELECT p_partkey AS id, (SELECT count(*) FROM edges WHERE dst = p_partkey) AS fan_in, (SELECT count(*) FROM edges WHERE src = p_partkey) AS fan_out FROM part")
+EDGES_SQL = """hops AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER w AS ahead, CASE WHEN o_orderstatus = 'F' THEN first_value(o_orderkey) OVER w END AS back
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+edges AS (SELECT src, ahead AS dst FROM hops WHERE ahead IS NOT NULL UNION SELECT src, back FROM hops WHERE back <> src)"""
+
+
+@query(f"WITH {EDGES_SQL} SELECT o_orderkey AS id, (SELECT count(*) FROM edges WHERE dst = o_orderkey) AS fan_in, (SELECT count(*) FROM edges WHERE src = o_orderkey) AS fan_out FROM orders")
 def edge_degrees(spark, sf_dir):
-    return graph.degrees(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), _edges(spark, sf_dir))
+    return graph.degrees(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 
 
-REACH_SQL = f"""{EDGES_SQL}, roots AS (SELECT p_partkey AS id FROM part WHERE p_size <= 2), reach AS (SELECT id FROM roots UNION SELECT dst FROM reach JOIN edges ON src = id)"""
+REACH_SQL = f"""{EDGES_SQL}, roots AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'), reach AS (SELECT id FROM roots UNION SELECT dst FROM reach JOIN edges ON src = id)"""
 
 
 @query(f"WITH RECURSIVE {REACH_SQL} SELECT id FROM reach")
 def reachability(spark, sf_dir):
-    return graph.reachable(table(spark, sf_dir, "part").filter("p_size <= 2").select(F.col("p_partkey").alias("id")), _edges(spark, sf_dir))
+    return graph.reachable(_nodes(spark, sf_dir).filter("is_root").select("id"), _edges(spark, sf_dir))
+
+
+_FILE_SQL = "'src/p' || o_orderkey || CASE o_orderkey % 10 WHEN 3 THEN '/package-info.java' WHEN 7 THEN '/module-info.java' ELSE '/A.java' END"
 
 
-@query(f"WITH RECURSIVE {REACH_SQL} SELECT p_partkey AS id FROM part WHERE p_size > 2 AND p_partkey NOT IN (SELECT id FROM reach)")
+@query(f"WITH RECURSIVE {REACH_SQL} SELECT {_FILE_SQL} AS id FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 10 NOT IN (3, 7) AND o_orderkey NOT IN (SELECT id FROM reach)")
 def unused_nodes(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") <= 2).alias("is_root"))
-    return graph.unused_nodes(nodes, reachability(spark, sf_dir))
+    """Ids as paths, of which some describe a package or module."""
+    k = F.col("id") % 10
+    path = F.concat(F.lit("src/p"), F.col("id").cast("string"), F.when(k == 3, "/package-info.java").when(k == 7, "/module-info.java").otherwise("/A.java")).alias("id")
+    return graph.unused_nodes(_nodes(spark, sf_dir).select(path, "is_root"), reachability(spark, sf_dir).select(path))
 
 
-@query("SELECT p_partkey AS id, p_retailprice > 900 AS is_root FROM part")
+@query("SELECT 'part' AS kind, p_partkey AS id, p_retailprice > 900 AS is_root FROM part UNION ALL SELECT 'supplier', s_suppkey, s_nationkey < 5 FROM supplier")
 def fallback_roots(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(False).alias("is_root"), (F.col("p_retailprice") > 900).alias("is_public"))
-    return graph.with_fallback_roots(nodes)
+    """No part is a root, so those that are public are; some suppliers are roots, and then they alone."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(False).alias("is_root"), (F.col("p_retailprice") > 900).alias("is_public"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") < 5).alias("is_root"), (F.col("s_acctbal") > 0).alias("is_public"))
+    return graph.with_fallback_roots(parts).withColumn("kind", F.lit("part")).unionByName(graph.with_fallback_roots(suppliers).withColumn("kind", F.lit("supplier")))
 
 
 SCC_SQL = f"""{EDGES_SQL}, walk AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM walk JOIN edges ON b = src),
 scc AS (SELECT x.a AS id, least(x.a, min(x.b)) AS scc FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"""
 
 
-@query(f"WITH RECURSIVE {SCC_SQL} SELECT list_sort(list(id)) AS files, count(*) AS size, count(DISTINCT p_brand) > 1 AS cross_package FROM scc JOIN part ON id = p_partkey GROUP BY scc")
+@query(f"WITH RECURSIVE {SCC_SQL} SELECT list_sort(list(id)) AS files, count(*) AS size, count(DISTINCT o_orderpriority) > 1 AS cross_package FROM scc JOIN orders ON id = o_orderkey GROUP BY scc")
 def scc_cycles(spark, sf_dir):
-    packages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("package"))
-    return graph.cycles(graph.strong_components(_edges(spark, sf_dir)), packages)
+    return graph.cycles(graph.strong_components(_edges(spark, sf_dir)), _nodes(spark, sf_dir).select("id", "package"))
 
 
-DEGREE_SQL = "SELECT p_partkey AS id, (SELECT count(*) FROM edges WHERE dst = p_partkey) AS fan_in, (SELECT count(*) FROM edges WHERE src = p_partkey) AS fan_out FROM part"
+DEGREE_SQL = "SELECT o_orderkey AS id, (SELECT count(*) FROM edges WHERE dst = o_orderkey) AS fan_in, (SELECT count(*) FROM edges WHERE src = o_orderkey) AS fan_out FROM orders"
 THRESHOLD_SQL = ", ".join(f"greatest(coalesce(quantile_disc({c}, {p}), 0)::DOUBLE, {floor}.0::DOUBLE) AS {name}" for name, (c, p, floor) in targets.PERCENTILES.items())
 
 
@@ -225,27 +241,50 @@ def percentile_thresholds(spark, sf_dir):
 
 
 @query(
-    """WITH words AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: length(w) >= 9))) AS w FROM documents),
-idx AS (SELECT w AS fqn, min(doc_id) AS dst FROM words WHERE doc_id % 3 = 0 GROUP BY w)
+    """WITH words AS (SELECT doc_id, unnest(list_distinct(string_split_regex(text, '[ \\n]+'))) AS w FROM documents),
+idx AS (SELECT w AS fqn, min(doc_id) AS dst FROM words GROUP BY w)
 SELECT DISTINCT doc_id AS src, dst FROM words JOIN idx ON w = fqn WHERE doc_id <> dst"""
 )
 def import_edges(spark, sf_dir):
-    """Words as names: every third document declares its long words, all import theirs."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda w: F.length(w) >= 9)).alias("imports"))
+    """Words as names: every document declares and imports all its words."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.array_distinct(F.split("text", "[ \n]+")).alias("imports"))
     none = F.array().cast("array<string>")
     files = words.withColumns({"static_imports": none, "wildcard_imports": none, "referenced": none, "package": F.lit("")})
-    types = words.filter("path % 3 = 0").select(F.explode("imports").alias("fqn"), "path")
+    types = words.select(F.explode("imports").alias("fqn"), "path")
     return graph.import_edges(files, types)
 
 
-# --- refactoring targets: facts of parts ---
+@query(
+    """WITH named AS (SELECT c_custkey AS k, c_nationkey AS p, 'n' || c_nationkey || '.C' || c_custkey AS fqn FROM customer),
+far AS (SELECT a.k, a.p, b.fqn AS plain, c.fqn AS member FROM named a LEFT JOIN named b ON b.k = a.k + 7 LEFT JOIN named c ON c.k = a.k + 11),
+refs AS (SELECT k, p, unnest(generate_series(k + 1, k + 60)) AS r FROM named)
+SELECT k AS src, k + 7 AS dst FROM far WHERE plain IS NOT NULL UNION SELECT k, k + 11 FROM far WHERE member IS NOT NULL
+UNION SELECT refs.k, r FROM refs JOIN named ON named.k = r WHERE named.p = (refs.p + 1) % 25 OR named.p = refs.p AND refs.p % 2 = 0"""
+)
+def import_kinds(spark, sf_dir):
+    """Customers as files, nations as packages: a plain and a static import, a wildcard of the next nation, and neighbours in even nations; odd ones are the default package."""
+    k, p = F.col("c_custkey"), F.col("c_nationkey")
+    named = table(spark, sf_dir, "customer").select(k.alias("k"), p.alias("p"), F.concat(F.lit("n"), p.cast("string"), F.lit(".C"), k.cast("string")).alias("fqn"))
+    other = lambda step, name: named.select((F.col("k") - step).alias("k"), F.col("fqn").alias(name))
+    files = named.join(other(7, "plain"), "k", "left").join(other(11, "owner"), "k", "left").select(
+        F.col("k").alias("path"),
+        F.when(F.col("p") % 2 == 0, F.concat(F.lit("n"), F.col("p").cast("string"))).otherwise("").alias("package"),
+        F.array_compact(F.array("plain")).alias("imports"),
+        F.array_compact(F.array(F.concat("owner", F.lit(".member")))).alias("static_imports"),
+        F.array(F.concat(F.lit("n"), ((F.col("p") + 1) % 25).cast("string"))).alias("wildcard_imports"),
+        F.transform(F.sequence(F.col("k") + 1, F.col("k") + 60), lambda r: F.concat(F.lit("C"), r.cast("string"))).alias("referenced"),
+    )
+    return graph.import_edges(files, named.select("fqn", F.col("k").alias("path")))
+
+
+# --- refactoring targets: facts of orders ---
 
 
 @query(
-    f"""WITH {EDGES_SQL}, degree AS ({DEGREE_SQL}), th AS (SELECT {THRESHOLD_SQL} FROM degree),
-facts AS (SELECT p_partkey AS path, p_size * 12 AS lines, (p_partkey % 13) / 16.0::DOUBLE AS density, (p_partkey % 41)::INT AS max_cognitive, (p_partkey % 19)::INT AS function_count, fan_in, fan_out, p_size <= 2 AS is_root,
-  (p_partkey % 101)::DOUBLE AS hotspot, CASE WHEN p_partkey % 3 = 0 THEN 'accelerating' ELSE 'stable' END AS trend, p_partkey % 23 = 0 AS is_circular, (p_partkey % 5)::INT AS export_count,
-  CASE WHEN p_partkey % 5 > 0 AND p_partkey % 2 = 0 THEN 1.0 / (p_partkey % 5) ELSE 0.0 END::DOUBLE AS dead_ratio FROM part JOIN degree ON id = p_partkey),
+    f"""WITH {EDGES_SQL}, degree AS ({DEGREE_SQL}), file AS (SELECT o_orderkey AS id, o_custkey % 50 + 1 AS size, o_orderpriority = '1-URGENT' AS is_root FROM orders), th AS (SELECT {THRESHOLD_SQL} FROM degree),
+facts AS (SELECT id AS path, size * 12 AS lines, (id % 13) / 16.0::DOUBLE AS density, (id % 41)::INT AS max_cognitive, (id % 19)::INT AS function_count, fan_in, fan_out, is_root,
+  (id % 101)::DOUBLE AS hotspot, CASE WHEN id % 3 = 0 THEN 'accelerating' ELSE 'stable' END AS trend, id % 23 = 0 AS is_circular, (id % 5)::INT AS export_count,
+  CASE WHEN id % 5 > 0 AND id % 2 = 0 THEN 1.0 / (id % 5) ELSE 0.0 END::DOUBLE AS dead_ratio FROM file JOIN degree USING (id)),
 ruled AS (SELECT *, CASE WHEN hotspot >= 50 AND trend = 'accelerating' AND density > 0.5 THEN 'churn+complexity' WHEN is_circular AND fan_in >= 5 THEN 'circular dependency'
   WHEN density > 0.3 AND (fan_in >= in_p95 OR (fan_in >= in_p75 AND function_count >= 5)) THEN 'high impact' WHEN dead_ratio >= 0.5 AND export_count >= 3 THEN 'dead code'
   WHEN max_cognitive >= 30 THEN 'complexity' WHEN NOT is_root AND fan_out >= out_p90 THEN 'coupling' WHEN is_circular THEN 'circular dependency' END AS category,
@@ -256,13 +295,12 @@ SELECT path, category, priority, floor(priority / cost * 10 + 0.5) / 10 AS effic
   CASE WHEN floor(priority / cost * 10 + 0.5) / 10 >= 40 THEN 'high' WHEN floor(priority / cost * 10 + 0.5) / 10 >= 20 THEN 'medium' ELSE 'low' END AS band FROM ruled WHERE category IS NOT NULL"""
 )
 def refactoring_targets(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    own = part.select(k.alias("path"), (F.col("p_size") * 12).alias("lines"), (k % 13 / 16.0).alias("density"), (k % 41).cast("int").alias("max_cognitive"), (k % 19).cast("int").alias("function_count"), (k % 5).cast("int").alias("export_count"), (F.col("p_size") <= 2).alias("is_root"))
+    nodes, k = _nodes(spark, sf_dir), F.col("id")
+    own = nodes.select(k.alias("path"), (F.col("size") * 12).alias("lines"), (k % 13 / 16.0).alias("density"), (k % 41).cast("int").alias("max_cognitive"), (k % 19).cast("int").alias("function_count"), (k % 5).cast("int").alias("export_count"), "is_root")
     files = own.join(edge_degrees(spark, sf_dir).withColumnRenamed("id", "path"), "path")
-    hot = part.select(k.alias("file"), (k % 101).cast("double").alias("score"), F.when(k % 3 == 0, "accelerating").otherwise("stable").alias("trend"))
-    unused = part.filter("p_partkey % 5 > 0 and p_partkey % 2 = 0").select(k.alias("path"))
-    facts = targets.assemble(files, hot, part.filter("p_partkey % 23 = 0").select(k.alias("path")), unused)
+    hot = nodes.select(k.alias("file"), (k % 101).cast("double").alias("score"), F.when(k % 3 == 0, "accelerating").otherwise("stable").alias("trend"))
+    unused = nodes.filter("id % 5 > 0 and id % 2 = 0").select(k.alias("path"))
+    facts = stash(targets.assemble(files, hot, nodes.filter("id % 23 = 0").select(k.alias("path")), unused), "target-facts")
     found = targets.targets(facts)
     return found.select("path", "category", "priority", "efficiency", "effort", "confidence", efficiency_band(F.col("efficiency")).alias("band"))
 
@@ -302,24 +340,66 @@ def changed_files(spark, sf_dir):
     return ReportFilter([], _ranges(spark, sf_dir)).files(_spans(spark, sf_dir).select("path").distinct())
 
 
-SKIPS = ["promo*", "large/brushed", "**/*copper"]
+SKIPS = ["promo", "brand#13/", "small/*", "**/brand#2[0-2]/*", "economy/**/p1?.java", "{medium,large}/brand#3*/p*7.java"]
+PATH_SQL = "lower(p_type) || '/' || lower(p_brand) || '/p' || p_size || '.java'"
 
 
-@query("SELECT p_partkey, lower(replace(p_type, ' ', '/')) AS path FROM part WHERE NOT regexp_matches(lower(replace(p_type, ' ', '/')), '" + (compile_all(SKIPS) or "").replace("'", "''") + "')")
+@query(
+    f"""WITH paths AS (SELECT p_partkey, {PATH_SQL} AS path, lower(p_type) AS kind, lower(p_brand) AS brand, p_size FROM part)
+SELECT p_partkey, path FROM paths WHERE kind <> 'promo' AND brand <> 'brand#13' AND brand NOT IN ('brand#20', 'brand#21', 'brand#22')
+AND NOT (kind = 'economy' AND p_size BETWEEN 10 AND 19) AND NOT (kind IN ('medium', 'large') AND starts_with(brand, 'brand#3') AND p_size % 10 = 7)"""
+)
 def glob_skip(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))).alias("path"))
-    return rows.filter(~skipped(F.col("path"), SKIPS))
+    path = F.concat(F.lower("p_type"), F.lit("/"), F.lower("p_brand"), F.lit("/p"), F.col("p_size").cast("string"), F.lit(".java"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path")).filter(~skipped(F.col("path"), SKIPS))
+
+
+@query(f"WITH {SPANS_SQL}, new AS (SELECT DISTINCT o_custkey * 2 AS path FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT path FROM spans WHERE path IN (SELECT path FROM new)")
+def added_files(spark, sf_dir):
+    """Files with a finished order are new ones."""
+    new = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select((F.col("o_custkey") * 2).alias("path")).distinct()
+    return ReportFilter([], _ranges(spark, sf_dir), new).new_files(_spans(spark, sf_dir).select("path").distinct())
+
+
+@query(f"WITH {SPANS_SQL} SELECT DISTINCT name FROM spans x WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.path = x.path AND r.s <= x.line + x.line_count AND x.line <= r.e)")
+def line_groups(spark, sf_dir):
+    """Groups of which a member's lines were changed."""
+    members = _spans(spark, sf_dir).select("name", "path", F.col("line").alias("start_line"), (F.col("line") + F.col("line_count")).alias("end_line"))
+    return ReportFilter([], _ranges(spark, sf_dir)).groups(members, ["name"], lines=True)
+
+
+@query("SELECT 'full' AS report, s_suppkey AS coord FROM supplier UNION ALL SELECT 'build file changed', s_suppkey FROM supplier")
+def shown_dependencies(spark, sf_dir):
+    """Dependencies in a full report and in one where a build file was changed; none in one where none was."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("coord"))
+    changed = lambda name: table(spark, sf_dir, "nation").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string"), F.lit(name)).alias("path"), F.lit(1).alias("start"), F.lit(2).alias("end"))
+    shown = {"full": ReportFilter(), "build file changed": ReportFilter([], changed("/pom.xml")), "others changed": ReportFilter([], changed("/A.java"))}
+    return reduce(DataFrame.unionByName, [f.dependencies(rows).withColumn("report", F.lit(name)) for name, f in shown.items()])
+
+
+@query(f"WITH {CHURN_SQL}, {METRICS_SQL}, {_hot_sql(1)} SELECT file, score FROM hot WHERE file % 10 <> 3")
+def shown_hotspots(spark, sf_dir):
+    """Skipped folders hide hotspots; a comparison shows none of them, so its rows add nothing."""
+    found = hotspot_decay(spark, sf_dir).select(F.concat(F.when(F.col("file") % 10 == 3, "gen/").otherwise("src/"), F.col("file").cast("string")).alias("file"), "score")
+    shown = ReportFilter(["gen"]).hotspots(found).unionByName(ReportFilter(["gen"], _ranges(spark, sf_dir)).hotspots(found))
+    return shown.select(F.substring("file", 5, 20).cast("long").alias("file"), "score")
+
+
+@query("SELECT 's' || (o_orderkey % 50) AS source, 'src/N' || o_orderkey || '.java' AS path, 1 AS start, 2147483647 AS \"end\", true AS is_new FROM orders")
+def untracked_files(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return textlog.untracked(table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), (k % 50).cast("string")).alias("source"), F.concat(F.lit("src/N"), k.cast("string"), F.lit(".java")).alias("path")))
 
 
 @query(
-    """WITH iv AS (SELECT l_orderkey AS g, l_partkey // 4 AS path, (l_suppkey % 50)::INT AS s, (l_suppkey % 50 + l_quantity)::INT AS e, l_linenumber FROM lineitem WHERE l_linenumber <= 2),
+    """WITH iv AS (SELECT l_orderkey AS g, l_partkey // 4 AS path, (l_suppkey % 50)::INT AS s, (l_suppkey % 50 + l_quantity)::INT AS e, l_linenumber FROM lineitem),
 inst AS (SELECT DISTINCT g, path, s, e FROM iv), heads AS (SELECT g, max(e - s + 1) AS h FROM inst GROUP BY g),
 rk AS (SELECT g, h, row_number() OVER (ORDER BY h DESC, g) AS r FROM heads), own AS (SELECT * FROM inst JOIN rk USING (g))
 SELECT g AS group_id, path, s AS start_line, e AS end_line, h AS line_count FROM own o WHERE EXISTS (SELECT 1 FROM own x WHERE x.g = o.g AND NOT EXISTS
  (SELECT 1 FROM own y WHERE y.path = x.path AND y.s <= x.s AND x.e <= y.e AND y.r < x.r))"""
 )
 def containment_prune(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    line = table(spark, sf_dir, "lineitem")
     own = line.select(F.col("l_orderkey").alias("group_id"), F.expr("l_partkey div 4").alias("path"), (F.col("l_suppkey") % 50).cast("int").alias("start_line"), (F.col("l_suppkey") % 50 + F.col("l_quantity")).cast("int").alias("end_line")).distinct()
     heads = own.groupBy("group_id").agg(F.max(F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
     return intervals.prune_contained(own.join(heads, "group_id"), [("line_count", True), ("group_id", False)])
@@ -358,14 +438,14 @@ def clone_families(spark, sf_dir):
 
 
 @query(
-    """WITH gs AS (SELECT l_suppkey % 40 AS g, list_sort(list(DISTINCT l_partkey % 3)) AS files, max(l_linenumber)::INT AS line_count FROM lineitem WHERE l_orderkey % 97 < 3 AND l_suppkey % 40 < 37 AND (l_partkey + l_suppkey) % 4 = 0 GROUP BY 1)
+    """WITH gs AS (SELECT l_orderkey AS g, list_sort(list(DISTINCT p_brand)) AS files, max(l_linenumber)::INT * 9 AS line_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT files, count(*) AS group_count, sum(line_count)::BIGINT AS total_lines, CASE WHEN sum(line_count) >= 50 THEN 'Move the shared code to a module of its own' ELSE 'Move the shared code to a helper' END AS suggestion FROM gs GROUP BY files HAVING count(*) > 1"""
 )
 def family_sets(spark, sf_dir):
-    """Groups keyed by their set of members."""
-    line = table(spark, sf_dir, "lineitem").filter("l_orderkey % 97 < 3 and l_suppkey % 40 < 37 and (l_partkey + l_suppkey) % 4 = 0")
-    rows = line.select((F.col("l_suppkey") % 40).alias("group_id"), (F.col("l_partkey") % 3).alias("path"), "l_linenumber")
-    sizes = rows.groupBy("group_id").agg(F.max("l_linenumber").cast("int").alias("line_count"))
+    """Orders as groups, keyed by the set of brands of their items."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), "l_partkey", "l_linenumber").join(part, "l_partkey")
+    sizes = rows.groupBy("group_id").agg((F.max("l_linenumber") * 9).cast("int").alias("line_count"))
     return clones.families(rows.select("group_id", "path").join(sizes, "group_id"))
 
 
@@ -450,17 +530,17 @@ def relative_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", relative(F.col("url"), "https:/").alias("rel"), base_name(F.col("url")).alias("name"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('complexity', 'Complex functions'), ('unused-exports', 'Unused exports'), ('clone-families', 'Clone families'), ('deps', 'Dependencies')) AS t(id, name)")
 def topic_lookup(spark, sf_dir):
-    return find(topics(spark), " Cognitive ").unionByName(find(topics(spark), "unused_exports")).select("id", "name")
+    return find(topics(spark), " Cognitive ").unionByName(find(topics(spark), "unused_exports")).unionByName(find(topics(spark), "Families")).unionByName(find(topics(spark), "maven")).unionByName(find(topics(spark), "nonsense")).select("id", "name")
 
 
 @query(
-    f"""WITH {FUNCTIONS_SQL}, t AS (SELECT 'complexity' AS target, (SELECT count(*) FROM violations) AS n UNION ALL SELECT 'large-functions', (SELECT count(*) FROM fns WHERE line_count > 60) UNION ALL SELECT 'circular', 0)
-SELECT target, n, n > 0 AS failed, CASE WHEN n > 0 THEN n || CASE target WHEN 'complexity' THEN ' complex function' ELSE ' large function' END || CASE WHEN n > 1 THEN 's' ELSE '' END || CASE target WHEN 'complexity' THEN ' above the limit' ELSE '' END END AS message FROM t"""
+    f"""WITH RECURSIVE {FUNCTIONS_SQL}, {SCC_SQL}, t AS (SELECT 'complexity' AS target, (SELECT count(*) FROM violations) AS n UNION ALL SELECT 'large-functions', (SELECT count(*) FROM fns WHERE line_count > 60) UNION ALL SELECT 'circular', (SELECT count(DISTINCT scc) FROM scc))
+SELECT target, n, n > 0 AS failed, CASE WHEN n > 0 THEN n || CASE target WHEN 'complexity' THEN ' complex function' WHEN 'circular' THEN ' circular dependency' ELSE ' large function' END || CASE WHEN n > 1 THEN 's' ELSE '' END || CASE target WHEN 'complexity' THEN ' above the limit' ELSE '' END END AS message FROM t"""
 )
 def gate_table(spark, sf_dir):
-    return gates(spark, ["complexity", "large-functions", "circular", "hotspots", "nonsense"], {"complexity": complexity_violations(spark, sf_dir), "large-functions": large_functions(spark, sf_dir)})
+    return gates(spark, ["complexity", "large-functions", "circular", "hotspots", "nonsense"], {"complexity": complexity_violations(spark, sf_dir), "large-functions": large_functions(spark, sf_dir), "circular": scc_cycles(spark, sf_dir)})
 
 
 # --- Java text made of part rows ---
@@ -494,3 +574,26 @@ def java_names(spark, sf_dir):
 @query("SELECT p_size, count(*) AS n, count(*) || ' part' || CASE WHEN count(*) > 1 THEN 's' ELSE '' END AS label FROM part GROUP BY p_size")
 def plural_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).select("p_size", "n", counted(F.col("n"), "part").alias("label"))
+
+
+@query("SELECT 'src/C' || p_partkey || '.java' AS path, (2 + 2 * (p_size % 6) + 1) / (11 + 2 * (p_size % 6))::DOUBLE AS density, ((p_size % 6) * (p_size % 6 + 1) // 2 + p_size % 6 + 1)::INT AS max_cognitive, 2 AS function_count, 1 AS export_count, (11 + 2 * (p_size % 6))::INT AS lines, true AS is_public, false AS is_root FROM part")
+def java_facts(spark, sf_dir):
+    """Facts of a file over its functions."""
+    return graph.file_facts(parse_sources(_java(spark, sf_dir)))
+
+
+@query("SELECT 'src/C' || p_partkey || '.java' AS path, ['C' || p_partkey, 'T' || (p_partkey % 7), 'a', 'b', 'go', 'm' || p_partkey, 'q', 'w', 'x'] AS names FROM part")
+def java_used_names(spark, sf_dir):
+    """All names of a file but its package's."""
+    found = parse_sources(_java(spark, sf_dir))
+    return found.select("path", F.array_sort(F.array_except("used_names", F.array("package"))).alias("names"))
+
+
+@query(
+    """WITH t AS (SELECT 'src/C' || p_partkey || '.java' AS path, (p_size % 6)::INT AS d, ['package', 'id:b' || regexp_replace(p_brand, '[^0-9]', '', 'g'), ';'] AS head, p_partkey AS k FROM part)
+SELECT path, 59 + 10 * d AS tokens, head, 10 + 2 * d AS last_line FROM t"""
+)
+def java_tokens(spark, sf_dir):
+    """What clone detection sees: how many tokens, the first ones, and the line of the last."""
+    found = tokenize_sources(_java(spark, sf_dir))
+    return found.select("path", F.size("keys").alias("tokens"), F.slice("keys", 1, 3).alias("head"), F.element_at("lines", -1).alias("last_line"))

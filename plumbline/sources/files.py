@@ -84,6 +84,22 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("source_tree").option("root", str(root)).load()
 
 
+def line_counts(paths: DataFrame, root: str) -> DataFrame:
+    """``(path, loc)`` of files below a root that executors see; none for what can't be read as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    counts.append(Path(root, path).read_bytes().decode("utf-8").count("\n") + 1)
+                except (OSError, UnicodeDecodeError, ValueError):
+                    counts.append(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["path", "loc"])
+
+    return paths.select("path").mapInArrow(run, "path string, loc long")
+
+
 def _arrow(row_schema: str, spark: SparkSession):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

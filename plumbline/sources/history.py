@@ -1,4 +1,7 @@
-"""History, diffs and build output, by running the tools on the driver."""
+"""History, diffs and build output of a working copy that driver and executors see.
+
+The driver asks for names alone; logs and diffs are read by tasks.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..config import valid_ref
 from ..operators.textlog import commit_log, dependency_report, diff_ranges, untracked
+from ..runtime import stash
+from .commands import LINES, command_lines
 
-LINES = "source string, line_no long, value string"
+#: Commits that one task reads.
+PER_JOB = 2000
 
 
 def _run(args: list[str], cwd: Path | str, check: bool = True) -> str:
@@ -36,8 +42,10 @@ def repository_root(path: Path | str) -> Path:
 
 def history(spark: SparkSession, root: Path | str) -> DataFrame:
     """The commit log of a working copy, merges left out."""
-    text = _run(["git", "log", "--no-merges", "--numstat", "--format=COMMIT %H %at"], root)
-    return commit_log(text_lines(spark, "log", text))
+    commits = _run(["git", "rev-list", "--no-merges", "HEAD"], root).split()
+    args = ["git", "log", "--no-walk=unsorted", "--stdin", "--numstat", "--format=COMMIT %H %at"]
+    jobs = [{"source": f"log{i}", "args": args, "stdin": "\n".join(commits[i : i + PER_JOB])} for i in range(0, len(commits), PER_JOB)]
+    return commit_log(command_lines(spark, str(root), jobs))
 
 
 def _succeeds(args: list[str], cwd: Path | str) -> bool:
@@ -55,11 +63,13 @@ def changes(spark: SparkSession, root: Path | str, ref: str) -> tuple[DataFrame,
         raise RuntimeError("not a repository")
     if not _succeeds(["git", "rev-parse", "--verify", "--quiet", ref + "^{commit}"], root):
         raise ValueError(f"no revision {ref!r}")
-    branch = _run(["git", "diff", "--unified=0", "--no-color", f"{ref}...HEAD"], root)
-    tree = _run(["git", "diff", "--unified=0", "--no-color", "HEAD"], root, check=False)  # what it can't say is no change
+    if not _succeeds(["git", "merge-base", ref, "HEAD"], root):
+        raise ValueError(f"nothing in common with {ref!r}")
+    diff = ["git", "diff", "--unified=0", "--no-color"]
+    jobs = [{"source": "branch", "args": [*diff, f"{ref}...HEAD"]}, {"source": "tree", "args": [*diff, "HEAD"], "must": False}]  # what the second can't say is no change
     loose = [(f"untracked{i}", p) for i, p in enumerate(_run(["git", "ls-files", "--full-name", "--others", "--exclude-standard"], root, check=False).split("\n")) if p]
-    found = text_lines(spark, "branch", branch).unionByName(text_lines(spark, "tree", tree))
-    all_rows = diff_ranges(found).unionByName(untracked(spark.createDataFrame(loose, "source string, path string")))
+    all_rows = stash(diff_ranges(command_lines(spark, str(root), jobs)), "changes")
+    all_rows = all_rows.unionByName(untracked(spark.createDataFrame(loose, "source string, path string")))
     return all_rows.select("path", "start", "end"), all_rows.filter("is_new").select("path").distinct()
 
 

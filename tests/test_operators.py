@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plumbline import queries
 from plumbline.config import option_list, valid_ref
-from plumbline.functions.globs import compile_all
+from plumbline.functions import scalar
+from plumbline.functions.globs import skipped
 from plumbline.functions.scalar import trend
 from plumbline.operators import clones, graph, intervals, textlog
 from plumbline.operators.filters import ReportFilter
 from plumbline.plans.scan import Scan
 from plumbline.config import Config
-from plumbline.sources import files, history
+from plumbline.sources import commands, files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -128,39 +129,76 @@ def test_trend_bounds_are_strict(spark):
     assert got == ["stable", "cooling", "stable", "cooling", "accelerating"]
 
 
-def test_globs():
-    import re
+def test_globs(spark):
+    def hits(pattern, *paths):
+        df = spark.createDataFrame([(p,) for p in paths], "path string")
+        return [r.path for r in df.filter(skipped(F.col("path"), [pattern])).collect()]
 
-    hit = lambda p, s: bool(re.match(compile_all([p]), s))
-    assert all(hit("gen", s) for s in ("gen", "gen/A.java", "src/gen/A.java", "src/gen")) and not hit("gen", "src/gene/A.java")
-    assert hit("**/*.gen.java", "a/b/X.gen.java") and not hit("**/*.gen.java", "a/X.java")
-    assert hit("src/*", "src/A.java") and not hit("src/*", "src/a/A.java")
+    assert hits("made", "made", "made/X.java", "web/made/Y.java", "web/made", "web/maded/Z.java") == ["made", "made/X.java", "web/made/Y.java", "web/made"]
+    assert hits("/top/", "top/", "top", "a/top") == ["top/"] and hits("web/", "web", "web/a") == ["web", "web/a"]
+    assert hits("**/*Dto?.java", "p/q/BillDto2.java", "BillDto2.java", "p/BillDto.java") == ["p/q/BillDto2.java", "BillDto2.java"]
+    assert hits("lib/*", "lib/a", "lib/a/b", "lib/a\n") == ["lib/a", "lib/a\n"]
+    assert hits("[!a-c]{x,y}", "dx", "ax", "ey", "d/x") == ["dx", "ey"]
 
 
-def test_options_and_revisions():
+def test_options_and_revisions(spark):
     assert option_list(" A, b ,,C") == ["a", "b", "c"]
-    assert all(map(valid_ref, ("master", "HEAD~2", "a1b2c3d", "HEAD@{upstream}"))) and not any(map(valid_ref, ("", "-x", "a;b")))
+    good, bad = ["release/2.1", "main^2", "0f3c9aa", "topic@{yesterday}"], ["", "--all", "a|b", "main\n", "\nmain", "a\tb"]
+    assert all(map(valid_ref, good)) and not any(map(valid_ref, bad))
+    df = spark.createDataFrame([(x,) for x in good + bad], "x string")
+    assert [r.x for r in df.filter(scalar.valid_ref(F.col("x"))).collect()] == good
 
 
 def lines(spark, text):
-    return spark.createDataFrame([("t", i, x) for i, x in enumerate(text.split("\n"))], history.LINES)
+    return spark.createDataFrame([("t", i, x) for i, x in enumerate(text.split("\n"))], commands.LINES)
 
 
 def test_diff(spark):
-    text = "diff --git a/A.java b/A.java\n--- a/A.java\n+++ b/A.java\n@@ -1,0 +11,3 @@\n+x\n+++ not a header\n@@ -9 +24 @@\n@@ -30,2 +31,0 @@\ndiff --git a/B.java b/B.java\nnew file mode 100644\n--- /dev/null\n+++ b/B.java\n@@ -0,0 +1,5 @@"
+    text = """diff --git a/Bill.java b/Bill.java
+--- a/Bill.java
++++ b/Bill.java
+@@ -40,2 +37 @@ class Bill {
++y
++++ looks like a header
+@@ -50,0 +52,4 @@
+@@ -60,2 +59,0 @@
+@@ -1 +99999999999,2 @@
+@@ -1 +7,99999999999999999999 @@
+@@ -1 +2147483647,3 @@
+@@ broken @@
+diff --git a/Cart.java b/Cart.java
+new file mode 100644
+--- /dev/null
++++ b/Cart.java
+@@ -0,0 +1,9 @@
+diff --git a/Gone.java b/Gone.java
++++ /dev/null
+@@ -1,3 +0,0 @@"""
     got = {(r.path, r.start, r.end, r.is_new) for r in textlog.diff_ranges(lines(spark, text)).collect()}
-    assert got == {("A.java", 11, 13, False), ("A.java", 24, 24, False), ("B.java", 1, 5, True)}
+    assert got == {("Bill.java", 37, 37, False), ("Bill.java", 52, 55, False), ("Bill.java", 2147483647, 2147483647, False), ("Cart.java", 1, 9, True)}
 
 
 def test_dependency_report(spark):
-    text = "[INFO] --- plugin ---\n[WARNING] Used undeclared dependencies found:\n[WARNING]    a:b:jar:1:compile\n[WARNING] Unused declared dependencies found:\n[WARNING]    c:d:jar:1:test\n[WARNING]    e:f:jar:2:compile\n[WARNING]    c:d:jar:1:test\n\n[WARNING]    g:h:jar:1:compile\n[INFO] done"
+    text = """[INFO] --- analyze (default-cli) @ shop ---
+[WARNING] Used undeclared dependencies found:
+[WARNING]    org.x:core:jar:3.1:compile
+[ERROR] org.y:odd:jar:1
+[WARNING]    org.x:late:jar:3.1:compile
+[WARNING] Unused declared dependencies found:
+[WARNING]    org.z:io:jar:2:test
+[WARNING]    org.z:net:jar:2:compile
+[WARNING]    org.z:io:jar:2:test
+[INFO] Unused declared dependencies found: none
+[WARNING]    org.q:no:jar:1:test
+
+[INFO] BUILD SUCCESS"""
     got = {(r.kind, r.coord, r.line_no) for r in textlog.dependency_report(lines(spark, text)).collect()}
-    assert got == {("undeclared", "a:b", 2), ("unused", "c:d", 4), ("unused", "e:f", 5)}
+    assert got == {("undeclared", "org.x:core", 2), ("unused", "org.z:io", 6), ("unused", "org.z:net", 7)}
 
 
 def test_log(spark):
-    text = "COMMIT abc 100\n\n3\t4\tA.java\n-\t-\tB.java\n1\t1\tC.txt\nCOMMIT x bad\n5\t5\tD.java"
-    assert [(r.commit, r.ts, r.path, r.added, r.deleted) for r in textlog.commit_log(lines(spark, text)).collect()] == [("abc", 100, "A.java", 3, 4)]
+    text = "COMMIT f00d 1700\n\n12\t0\tsrc/Bill.java\n-\t-\tlogo.java\n3\t1\tnotes.md\nCOMMIT beef never\n4\t4\tsrc/Cart.java"
+    assert [(r.commit, r.ts, r.path, r.added, r.deleted) for r in textlog.commit_log(lines(spark, text)).collect()] == [("f00d", 1700, "src/Bill.java", 12, 0)]
 
 
 def test_touching_spans_overlap(spark):
