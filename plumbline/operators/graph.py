@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import base_name, is_test_path
-from ..runtime import stash
+from ..runtime import append, discard, stash
 
 #: Graphs of at most this many edges are solved in one task; larger ones by rounds of joins.
 SMALL = 1_000_000
@@ -103,12 +103,13 @@ def reachable(roots: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFra
             return pd.DataFrame({"id": pd.Series(sorted(seen), dtype=table["src"].dtype)})
 
         return _one_task(edges, roots, walk, f"id {kind}")
-    seen = stash(roots.select("id").distinct(), "reach")
-    front = seen
+    front = stash(roots.select("id").distinct(), "reach-front")
+    seen = stash(front, "reach")
     while not front.isEmpty():
         found = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        front = stash(found.join(seen, "id", "left_anti"), "reach-front")
-        seen = stash(seen.unionByName(front), "reach")
+        last, front = front, stash(found.join(seen, "id", "left_anti"), "reach-front")
+        discard(last)
+        seen = append(seen, front)
     return seen
 
 
@@ -179,9 +180,10 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         colours = stash(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "scc-colours")
         while True:
             told = left.join(colours, left["src"] == colours["id"]).groupBy("dst").agg(F.min("colour").alias("told"))
-            new = stash(colours.join(told, colours["id"] == told["dst"], "left").select("id", F.least("colour", "told").alias("colour")), "scc-colours")
-            same = new.join(colours, ["id", "colour"], "left_anti").isEmpty()
-            colours = new
+            new = stash(colours.join(told, colours["id"] == told["dst"], "left").select("id", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("turned")), "scc-colours")
+            same = new.filter("turned").isEmpty()
+            discard(colours)
+            colours = new.select("id", "colour")
             if same:
                 break
         a, b = colours.select(F.col("id").alias("src"), F.col("colour").alias("ca")), colours.select(F.col("id").alias("dst"), F.col("colour").alias("cb"))

@@ -37,6 +37,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def append(stashed: DataFrame, more: DataFrame) -> DataFrame:
+    """Add rows to what :func:`stash` wrote, and read it all; frames read before don't see them."""
+    path = stashed._stashed_at
+    more.write.mode("append").parquet(path)
+    found = stashed.sparkSession.read.schema(stashed.schema).parquet(path)
+    found._stashed_at = path
+    return found
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what :func:`stash` wrote for frames that nothing reads any more; other frames are passed over."""
     for df in frames:
