@@ -561,6 +561,49 @@ def test_pipeline_stages(spark, odd):
     assert "pipeline" in entry.queries()
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Nulls, empty texts, repeated rows, clashing names and no rows at all, through each stage by itself."""
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, odd, SF)
+        rows = after.collect()
+        counts[name] = len(rows)
+        if name != "packing":
+            assert after.columns == odd.columns, name
+            assert {r.doc_id for r in rows} <= {i for i, _ in ODD}
+        if name in ("quality classifier", "exact dedup", "simhash near-dedup"):
+            assert {(r.doc_id, r.text) for r in rows} <= set(ODD), name
+        assert stage(spark, none, SF).collect() == [], name
+    assert counts["exact dedup"] == len({t or "" for _, t in ODD})
+    assert counts["simhash near-dedup"] == 7
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, odd, SF).collect()}
+    assert {2, 10} <= kept and not {1, 9} & kept  # of equal texts the largest id stays, and null is empty
+
+
+def test_very_long_texts(spark):
+    """A text of two million characters, and a conversation with a reply of one million."""
+    rng = random.Random(8)
+    vocabulary = [f"v{rng.randrange(10**6)}" for _ in range(3000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(280_000))
+    rows = [(1, long), (2, "short text"), (3, long + " tail")]
+    docs = frame(spark, rows)
+    tokens = {r.doc_id: r.n_tokens for r in bpe.digest_documents(docs, PATH).collect()}
+    packed = packing.pack_documents(docs, PATH).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {i: n + 1 for i, n in tokens.items()} and tokens[1] > 400_000
+    assert {r.doc_id: r.n_words for r in rules.judge(docs).collect()} == {1: 280_000, 2: 2, 3: 280_001}
+    assert [(r.doc_id, r.begin, r.n_words, r.n_cut) for r in sorted(suffix.repeated_passages(docs).collect())] == [(1, 0, 280_000, 0), (3, 0, 280_000, 280_000)]
+    assert {r.doc_id: r.kept for r in exact.decide(docs).collect()} == {1: True, 2: True, 3: True}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert sorted(r.doc_id for r in simhash.deduplicate_similar(docs, cosine=True).collect()) == [1, 2]
+    assert {r.doc_id: r.n_tokens for r in lm.score_documents(docs, SMALL).collect()} == {1: 280_001, 2: 3, 3: 280_002}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert toxicity.score_documents(docs, labels).count() == quality.score_documents(docs, labels).count() == 3
+    reply = "#\\</turn>" * 120_000
+    said = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", reply), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    found = chat.read_back(chat.examples(said)).first()
+    assert (found.n_turns, found.loss_chars, found.loss_sha256) == (3, len(reply), hashlib.sha256(reply.encode()).hexdigest())
+
+
 def test_bounded_cache():
     from plumbline.llm.common import BoundedCache
 
