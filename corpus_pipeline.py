@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written
 as Parquet and read again as the next one's documents.
+
+Null texts count as empty, rows count each on their own, other columns go
+along, and an empty table gives no rows.  Of equal texts, empty ones among
+them, the second stage leaves one, so a repeated row stays once.
 """
 
 from __future__ import annotations
