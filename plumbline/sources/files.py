@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,21 +31,51 @@ def find_project(start: str | Path) -> Path | None:
     return next((p for p in [here, *here.parents][:6] if (p / BUILD_FILE).is_file()), None)
 
 
-def list_sources(root: str | Path, suffix: str = ".java") -> list[str]:
-    """Paths of sources below ``root`` in order; a root that bears a pruned name has none."""
+def _entries(folder: str, suffix: str) -> tuple[list[str], list[str]]:
+    """Folders to enter and sources in one folder, in order; none if it can't be read."""
+    folders, found = [], []
+    try:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in PRUNED:
+                        folders.append(e.path)
+                elif e.name.endswith(suffix) and e.name != suffix and e.is_file():
+                    found.append(e.path)
+    except OSError:
+        return [], []
+    return sorted(folders), sorted(found)
+
+
+def walk_sources(folders: list[str], suffix: str = ".java") -> Iterator[str]:
+    """Paths of sources in and below folders."""
+    waiting = list(reversed(folders))
+    while waiting:
+        below, found = _entries(waiting.pop(), suffix)
+        yield from found
+        waiting += reversed(below)
+
+
+def split_tree(root: str, suffix: str = ".java", least: int = 256) -> tuple[list[str], list[str]]:
+    """Sources of the upper levels of a tree, and the folders below them: the first level of ``least`` folders or more, or what there is.
+
+    The driver lists no more than these levels.  A root that bears a pruned
+    name has nothing.
+    """
     if Path(root).resolve().name in PRUNED:
-        return []
-    found = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if f not in PRUNED)
-        found += [os.path.join(folder, n) for n in names if n.endswith(suffix) and n != suffix]
-    return sorted(found)
+        return [], []
+    folders, found = [str(root)], []
+    while folders and len(folders) < least:
+        levels = [_entries(f, suffix) for f in folders]
+        folders = [f for below, _ in levels for f in below]
+        found += [p for _, own in levels for p in own]
+    return found, folders
 
 
 class _Slice(InputPartition):
-    def __init__(self, paths: list[str]):
+    def __init__(self, paths: list[str], folders: list[str]):
         super().__init__(None)
-        self.paths = paths
+        self.paths, self.folders = paths, folders
 
 
 class _Reader(DataSourceReader):
@@ -52,11 +83,11 @@ class _Reader(DataSourceReader):
         self.root, self.suffix, self.per_slice = root, suffix, per_slice
 
     def partitions(self) -> list[InputPartition]:
-        paths = list_sources(self.root, self.suffix)
-        return [_Slice(paths[i : i + self.per_slice]) for i in range(0, len(paths), self.per_slice)] or [_Slice([])]
+        paths, folders = split_tree(self.root, self.suffix)
+        return [*[_Slice(paths[i : i + self.per_slice], []) for i in range(0, len(paths), self.per_slice)], *[_Slice([], [f]) for f in folders]] or [_Slice([], [])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for path in partition.paths:
+        for path in chain(partition.paths, walk_sources(partition.folders, self.suffix)):
             try:
                 text = Path(path).read_bytes().decode("utf-8")
             except (OSError, UnicodeDecodeError):

@@ -141,3 +141,21 @@ def test_a_stream_counts_what_a_batch_counts(spark, tmp_path):
     query.awaitTermination(120)
     got, want = spark.table("daily"), daily_counts(events, "user_id", "ts")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+
+
+def test_a_tree_is_split_by_folders(tmp_path):
+    for i in range(5):
+        for j in range(3):
+            folder = tmp_path / f"m{i}" / f"p{j}" / "deep"
+            folder.mkdir(parents=True)
+            (folder / "A.java").write_text("")
+            (folder / ".java").write_text("")
+        (tmp_path / f"m{i}" / "B.java").write_text("")
+    (tmp_path / "m0" / "build").mkdir()
+    (tmp_path / "m0" / "build" / "C.java").write_text("")
+    for least in (1, 2, 6, 1000):
+        found, folders = files.split_tree(str(tmp_path), least=least)
+        every = [*found, *files.walk_sources(folders)]
+        assert len(every) == len(set(every)) == 20 and not any("build" in p for p in every)
+    assert len(files.split_tree(str(tmp_path), least=6)[1]) == 15
+    assert files.split_tree(str(tmp_path / "m0" / "build")) == ([], [])
