@@ -426,15 +426,38 @@ def kgram_classes(spark, sf_dir):
     return classes.groupBy("members", "first_path", "files").agg(F.count("*").alias("classes"))
 
 
-@query()
+#: All pairs of a class; where they go on alike they are runs on one diagonal, so the shortest run of a class's pairs is what all its members share.
+CLONES_SQL = """WITH words AS (SELECT doc_id AS path, flatten(list_transform(string_split(text, chr(10)), lambda x, i: list_transform(list_filter(string_split(x, ' '), lambda w: w <> ''), lambda w: {'w': w, 'l': i}))) AS t FROM documents),
+files AS (SELECT path, list_transform(t, lambda x: x.w) AS k, list_transform(t, lambda x: x.l)::INT[] AS lines FROM words WHERE len(t) >= 50),
+wins AS (SELECT path, i, md5_number(array_to_string(k[i + 1 : i + 50], ' ')) AS h FROM (SELECT path, k, unnest(generate_series(0, len(k) - 50))::INT AS i FROM files)),
+many AS (SELECT path, i, h, count(*) OVER (PARTITION BY h) AS n FROM wins QUALIFY n > 1),
+pairs AS (SELECT a.h, a.path AS p, a.i AS i, b.path AS q, b.i - a.i AS gap FROM many a JOIN many b USING (h) WHERE a.path <> b.path OR a.i <> b.i),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY p, q, gap ORDER BY i) AS island FROM pairs),
+alike AS (SELECT *, max(i) OVER (PARTITION BY p, q, gap, island) - i + 50 AS n FROM runs),
+lengths AS (SELECT h, min(n)::INT AS token_count FROM alike GROUP BY h),
+places AS (SELECT h, path, token_count, list_sort(list(i)) AS spots FROM many JOIN lengths USING (h) GROUP BY ALL),
+thinned AS (SELECT h, path, token_count, unnest(list_reduce(list_transform(spots, lambda x: [x]), lambda kept, x: CASE WHEN x[1] >= kept[-1] + token_count THEN list_concat(kept, x) ELSE kept END)) AS i FROM places),
+shown AS (SELECT h, path, token_count, lines[i + 1] AS start_line, lines[i + token_count] AS end_line FROM thinned JOIN files USING (path)),
+sized AS (SELECT h, count(*) AS n, max(end_line - start_line + 1) AS line_count, min((path, start_line)) AS first_at FROM shown GROUP BY h HAVING n >= 2 AND line_count >= 2),
+found AS (SELECT * FROM shown JOIN sized USING (h)),
+groups AS (SELECT *, dense_rank() OVER (ORDER BY line_count DESC, token_count DESC, first_at, h) AS r FROM found),
+lost AS (SELECT r FROM groups g GROUP BY r HAVING bool_and(EXISTS (SELECT 1 FROM groups o WHERE o.path = g.path AND o.start_line <= g.start_line AND g.end_line <= o.end_line AND o.r < g.r))),
+kept AS (SELECT * FROM groups WHERE r NOT IN (SELECT r FROM lost))"""
+
+
+@query(CLONES_SQL + " SELECT path, start_line, end_line, token_count, line_count FROM kept")
 def clone_groups(spark, sf_dir):
-    """Duplicate blocks of documents; the thinning and pruning are tested against brute force."""
-    return clones.clone_groups(_token_files(spark, sf_dir), 50, 2)
+    """Duplicate blocks of documents, without the groups' names, which are hashes."""
+    return clones.clone_groups(_token_files(spark, sf_dir), 50, 2).select("path", "start_line", "end_line", "token_count", "line_count")
 
 
-@query()
+@query(
+    CLONES_SQL
+    + """, sets AS (SELECT r, list_sort(list(DISTINCT path)) AS files, any_value(line_count) AS line_count FROM kept GROUP BY r)
+SELECT files, count(*) AS group_count, sum(line_count)::BIGINT AS total_lines, CASE WHEN sum(line_count) >= 50 THEN 'Move the shared code to a module of its own' ELSE 'Move the shared code to a helper' END AS suggestion FROM sets GROUP BY files HAVING count(*) > 1"""
+)
 def clone_families(spark, sf_dir):
-    return clones.families(clone_groups(spark, sf_dir))
+    return clones.families(clones.clone_groups(_token_files(spark, sf_dir), 50, 2))
 
 
 @query(
