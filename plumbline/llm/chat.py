@@ -117,7 +117,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``turns_sha256`` is over role, line feed, text, line feed of each turn of
     the last example, ``loss_sha256`` over the texts under the loss of all
     examples in their order, ``formatted_chars`` the code points of all
-    examples.  The rows must come as :func:`examples` gives them.
+    examples.  The rows must come as :func:`examples` gives them: neighbours of
+    one ``conv_id``, a null one too, are one conversation, so repeated turns
+    count as often as they stand there.  Null and empty texts read back as
+    empty ones; a conversation without a reply has no loss.  No rows for an
+    empty table.
     """
     kind = dict(formatted.dtypes)["conv_id"]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -130,6 +134,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
             digest = sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode())
             out.append((key, len(turns), digest.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            types = [key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
         for batch in batches:
             key_type = batch.column(0).type
             for k, _, text, begin, end in zip(*[c.to_pylist() for c in batch.columns]):
@@ -141,10 +151,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 loss.update(under.encode())
                 loss_chars += len(under)
                 chars += len(text)
+            if len(out) >= 4096:
+                yield flush()
         if begun:
             close()
-            columns = list(zip(*out))
-            types = [key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield flush()
 
     return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
