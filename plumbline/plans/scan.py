@@ -31,6 +31,7 @@ class Scan:
 
     def __post_init__(self):
         self.shown = self.shown or ReportFilter(self.config.skip_patterns)
+        self._made: dict[str, DataFrame] = {}
 
     @cached_property
     def files(self) -> DataFrame:
@@ -121,7 +122,10 @@ class Scan:
         return self.shown.files(targets.targets(facts))
 
     def section(self, name: str) -> DataFrame:
-        return getattr(self, name.replace("-", "_"))()
+        """A section, made once: its count, its top rows and its gate read the same table."""
+        if name not in self._made:
+            self._made[name] = stash(getattr(self, name.replace("-", "_"))(), f"section-{name}")
+        return self._made[name]
 
     def top(self, name: str) -> DataFrame:
         """The rows a report shows: the section's order, cut to ``config.top``; functions and exports are grouped by file."""
