@@ -236,7 +236,8 @@ class Suffixes:
     def extended(self) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix a bit for each number of words before it: whether the window that begins there is repeated, and whether it stands here first.
 
-        All suffixes of a group (of one ``a``) must be here.
+        Of a group (of one ``a``) that isn't wholly here this holds among those
+        that are.
         """
         n, reach = len(self), self.right.shape[1]
         again, first = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -279,8 +280,22 @@ class Suffixes:
                 mark(own, (of[1:] == of[:-1]) & (self.left[own[1:], :before] == self.left[own[:-1], :before]).all(axis=1), before)
         return again, first
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each window that these stand for, with its document and place."""
+    def undecided(self, again: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of a part of a group, by what :meth:`extended` says of it: bits of the windows that the rest of the group may change.
+
+        Of equal windows only the one first here may be preceded elsewhere.  A
+        window without its like here has none elsewhere either if neither
+        neighbour agrees far enough to the right, as neighbours agree longest;
+        the part's own ends have neighbours elsewhere.
+        """
+        n, reach = len(self), self.right.shape[1]
+        every = ((np.int64(1) << (self.high.astype(np.int64) + 1)) - 1) & ~((np.int64(1) << self.low.astype(np.int64)) - 1)
+        shared = np.where(self.a[1:] == self.a[:-1], common(self.right[1:], self.right[:-1]), reach)
+        longest = np.maximum(np.r_[reach, shared], np.r_[shared, reach]) if n else np.empty(0, np.int64)
+        return first | every & ~again & ~((np.int64(1) << (reach - longest)) - 1)
+
+    def windows(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the windows at these bits, with document and place."""
         reach = self.right.shape[1]
         out: list[list[np.ndarray]] = [[], [], [], []]
         sums = []
@@ -290,7 +305,7 @@ class Suffixes:
                 each = mix64(codes.astype(np.uint64) + (steps << np.uint64(16)) + np.uint64(side << 62))
                 sums.append(np.concatenate([np.zeros((len(self), 1), np.uint64), np.cumsum(each, axis=1)], axis=1))
         for before in range(reach + 1):
-            rows = np.flatnonzero((self.low <= before) & (before <= self.high))
+            rows = np.flatnonzero(bits >> before & 1)
             key = self.a[rows].view(np.uint64)
             for i, base in enumerate((BASE, SECOND)):
                 out[i].append(mix64(key * np.uint64(base) + sums[2 * i][rows, before] + mix64(sums[2 * i + 1][rows, reach - before])))
@@ -306,8 +321,9 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
     """Sort the suffixes of :func:`contexts` and extend matches.
 
     ``(doc, place, again, first)`` of those with a repeated window, as bits by
-    the words before them; and ``(a, b, doc, place)`` of the windows of groups
-    that lie in several tasks or blocks.
+    the words before them; and ``(a, b, doc, place)`` of windows of groups that
+    lie in several tasks or blocks, as far as other parts of the group may
+    change what was found among the suffixes of one.
     """
     columns = ["a", "right", "left", "doc", "place"]
     ordered = rows.repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)
@@ -319,14 +335,14 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
             is_open = some.a == open_key
             if last_is_open:
                 is_open |= some.a == some.a[-1]
-            closed, rest = some[~is_open], some[is_open]
-            again, first = closed.extended()
+            again, first = some.extended()
             at = np.flatnonzero(again)
             if len(at):
                 nothing = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(closed.doc[at]), pa.array(closed.place[at]), pa.array(again[at].astype(np.int32)), pa.array(first[at].astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(some.doc[at]), pa.array(some.place[at]), pa.array(again[at].astype(np.int32)), pa.array(first[at].astype(np.int32))], names=names)
+            rest, bits = some[is_open], some[is_open].undecided(again[is_open], first[is_open])
             for at in range(0, len(rest), BLOCK // 4):
-                a, b, doc, place = rest[at : at + BLOCK // 4].windows()
+                a, b, doc, place = rest[at : at + BLOCK // 4].windows(bits[at : at + BLOCK // 4])
                 none = pa.array(np.zeros(len(a), np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doc), pa.array(place), none, none], names=names)
 
@@ -358,7 +374,10 @@ def _stretches(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(found: DataFrame, least: int) -> DataFrame:
-    """Repeated windows, ``(doc, place, again, first)`` by bits, to one row a document: its passages and the parts of them that repeat something earlier."""
+    """Repeated windows, ``(doc, place, again, first)`` by bits, to one row a document: its passages and the parts of them that repeat something earlier.
+
+    A window that is there twice is first only if both say so.
+    """
     rows = found.groupBy("doc").agg(F.collect_list(F.struct("place", "again", "first")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,10 +387,8 @@ def _spans(found: DataFrame, least: int) -> DataFrame:
                 place, again, first = (windows.values.field(c).to_numpy().astype(np.int64) for c in ("place", "again", "first"))
                 at, before = np.nonzero(again[:, None] >> np.arange(32) & 1)
                 begins = place[at] - before
-                order = begins.argsort()
-                begins, is_first = begins[order], (first[at] >> before & 1)[order] > 0
-                begin, end = _stretches(begins, least)
-                later = begins[~is_first]
+                later = np.unique(begins[(first[at] >> before & 1) == 0])
+                begin, end = _stretches(np.unique(begins), least)
                 cut_begin, cut_end = _stretches(later, least) if len(later) else (later, later)
                 for held, x in zip(out, (begin, end, cut_begin, cut_end)):
                     held.append(x)
