@@ -122,6 +122,9 @@ class ForcedBoundaryBPE:
             stem = word[:-1]
             if stem.isalpha() or stem[-1] >= 0x80 and self._letters.fullmatch(stem.decode("utf-8", "replace")):
                 return self.words[stem] + self.words[word[-1:]]
+        if word.isalpha():  # ASCII letters
+            ids = self._piece(word.decode().lower())
+            return pack(f"<{len(ids)}I", *ids)
         text = word.decode("utf-8", "replace")
         if self._letters.fullmatch(text):
             ids = self._piece(word.decode("latin-1").translate(self._chars))

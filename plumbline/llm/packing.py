@@ -120,17 +120,19 @@ class VectorPacker:
         limits, n = self.limits, len(self.pool)
         demand = self._demand[:, :n]
         tokens, loss = demand[0], demand[2]
-        left = np.array([room, limits.segments, limits.loss], float)
+        left = [float(room), float(limits.segments), float(limits.loss)]
         free, chosen = np.ones(n, bool), []
         while left[1] >= 1:
-            at = np.flatnonzero(free & (tokens <= left[0]) & (loss <= left[2]))
-            if not len(at):
+            # The dot product of demands and what is left; the segment's part is the same for all pieces.
+            along = tokens * (left[0] / self._scale[0] ** 2) + loss * (left[2] / self._scale[2] ** 2)
+            along[~(free & (tokens <= left[0]) & (loss <= left[2]))] = -1
+            best = int(along.argmax())  # ties: the piece that came first
+            if along[best] < 0:
                 break
-            best = int(at[(left / self._scale**2 @ demand[:, at]).argmax()])  # ties: the piece that came first
             free[best] = False
-            left -= demand[:, best]
+            left = [left[0] - tokens[best], left[1] - 1, left[2] - loss[best]]
             chosen.append(self.pool[best])
-        if self.cuttable and left.min() > 0 and free.any():
+        if self.cuttable and min(left) > 0 and free.any():
             # Nothing fits whole: the front of the longest piece fills the sequence, or begins an empty one.
             best = int(np.where(free, tokens, -1.0).argmax())
             size = self.pool[best].fits(int(left[0]), int(left[2]))
@@ -144,7 +146,8 @@ class VectorPacker:
                     demand[:, best] = len(rest.ids), 1, rest.cost()
         kept = np.flatnonzero(free)
         self._demand[:, : len(kept)] = demand[:, kept]
-        self.pool = [self.pool[i] for i in kept.tolist()]
+        for i in np.flatnonzero(~free)[::-1].tolist():
+            del self.pool[i]
         return self._without_padding(chosen) if self.cuttable else chosen
 
     def _without_padding(self, chosen: list[Piece]) -> list[Piece]:
