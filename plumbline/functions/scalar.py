@@ -15,11 +15,18 @@ def rounded(x: Column, digits: int = 1) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def decay(ts: Column, as_of: int, half_life: int = HALF_LIFE) -> Column:
+def decay(ts: Column, as_of: int | Column, half_life: int = HALF_LIFE) -> Column:
     """A weight that halves with every half-life before ``as_of`` seconds."""
     return F.exp(-(F.lit(as_of) - ts) * (math.log(2) / half_life))
 
 
+def steady_sum(n: Column, x: Column) -> Column:
+    """The sum of ``n`` times ``x``, for x from 0 to 1, which no order of rows changes: whole numbers of 2^-30 and of 2^-60 are added (up to 2^33 in all)."""
+    high = F.floor(x * 2**30)
+    low = F.floor((x * 2**30 - high) * 2**30)
+    return F.sum(n * high) / 2**30 + F.sum(n * low) / 2**60
+
+
 def epoch(ts: Column) -> Column:
     """Seconds of a time column, with or without a zone."""
     return F.unix_seconds(ts.cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import decay, rounded, trend
+from ..functions.scalar import decay, rounded, steady_sum, trend
 
 
 def churn(log: DataFrame, as_of: int, key: str = "path", ts: str = "ts", added: str = "added", deleted: str = "deleted") -> DataFrame:
@@ -13,14 +13,15 @@ def churn(log: DataFrame, as_of: int, key: str = "path", ts: str = "ts", added:
 
     Two hash aggregations on the same key, so one shuffle: the second counts
     either side of the key's own midpoint, for which rows are first summed by
-    (key, second).
+    (key, second).  Weights are taken relative to the key's last second and
+    added exactly, so equal histories weigh the same to the last bit.
     """
     rows = log.select(F.col(key).alias("path"), F.col(ts).alias("ts"), F.col(added).alias("added"), F.col(deleted).alias("deleted")).filter(F.col("ts").isNotNull())
     seconds = rows.groupBy("path", "ts").agg(F.count("*").alias("n"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     spans = seconds.groupBy("path").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     middle = F.col("low") + F.floor((F.col("high") - F.col("low")) / 2)
     found = seconds.join(spans, "path").groupBy("path", "low", "high").agg(
-        F.sum(F.col("n") * decay(F.col("ts"), as_of)).alias("weighted_commits"),
+        (decay(F.col("high"), as_of) * steady_sum(F.col("n"), decay(F.col("ts"), F.col("high")))).alias("weighted_commits"),
         F.sum("n").alias("total_commits"),
         F.sum("added").alias("added"),
         F.sum("deleted").alias("deleted"),

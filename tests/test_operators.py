@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -10,7 +11,7 @@ from plumbline.config import option_list, valid_ref
 from plumbline.functions import scalar
 from plumbline.functions.globs import skipped
 from plumbline.functions.scalar import trend
-from plumbline.operators import clones, graph, intervals, textlog
+from plumbline.operators import churn, clones, graph, intervals, textlog
 from plumbline.operators.filters import ReportFilter
 from plumbline.plans.scan import Scan
 from plumbline.config import Config
@@ -235,3 +236,18 @@ def test_scan_of_a_small_project(spark, tmp_path):
     gates = {r.target: (r.n, r.failed, r.message) for r in scan.gates(["circular", "unused-files"]).collect()}
     assert gates == {"circular": (1, True, "1 circular dependency"), "unused-files": (1, True, "1 unused file")}
     assert scan.targets().columns == ["path", "priority", "efficiency", "recommendation", "category", "effort", "confidence"]
+
+
+def equal_histories(spark, paths=40):
+    """Files of one history and of densities in sixteenths of the greatest, so the scores are ties of rounding."""
+    rng = random.Random(3)
+    seconds = [rng.randrange(1_600_000_000, queries.AS_OF) for _ in range(99)]
+    rows = [(p, t, 1, 0) for p in range(paths) for t in rng.sample(seconds, len(seconds))]
+    metrics = spark.createDataFrame([(p, p % 17 / 8.0, 1, 1) for p in range(paths)], "path long, density double, loc long, fan_in long")
+    return churn.churn(spark.createDataFrame(rows, "path long, ts long, added long, deleted long").repartition(7), queries.AS_OF), metrics
+
+
+def test_equal_histories_weigh_the_same(spark):
+    churned, metrics = equal_histories(spark)
+    assert churned.select("weighted_commits").distinct().count() == 1
+    assert {r["file"]: r["score"] for r in churn.hotspots(churned, metrics).collect()} == {p: math.floor(p % 17 * 62.5 + 0.5) / 10 for p in range(40)}
