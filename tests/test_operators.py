@@ -251,3 +251,9 @@ def test_equal_histories_weigh_the_same(spark):
     churned, metrics = equal_histories(spark)
     assert churned.select("weighted_commits").distinct().count() == 1
     assert {r["file"]: r["score"] for r in churn.hotspots(churned, metrics).collect()} == {p: math.floor(p % 17 * 62.5 + 0.5) / 10 for p in range(40)}
+
+
+def test_a_least_number_of_commits_keeps_ties(spark):
+    churned, metrics = equal_histories(spark)
+    few = churned.limit(0).unionByName(churned.select(*[(F.lit(59) if c == "total_commits" else F.col("path") + 40 if c == "path" else F.col(c)).alias(c) for c in churned.columns]))
+    assert {r["file"]: r["score"] for r in churn.hotspots(churned.unionByName(few), metrics, 60).collect()} == {p: math.floor(p % 17 * 62.5 + 0.5) / 10 for p in range(40)}
