@@ -63,17 +63,26 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "u", right: str = "v", small: int = BLOCK) -> DataFrame:
     """``(node, root)`` for every node with an edge to another node; root is the component's least node.
 
     Edges are undirected pairs of longs.  Self-loops and pairs with a null are
-    passed over; repeated pairs count once.  No edges give no rows.
+    passed over; repeated pairs count once.  No edges give no rows.  What a
+    first contraction leaves goes to one task if it is ``small``.
     """
+    def named(stars: DataFrame) -> DataFrame:
+        roots = stars.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+        return stars.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
+
     a, b = F.col(left), F.col(right)
     now = edges.filter(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct()
     while True:
         now, before = stash(now.mapInArrow(_contract, "v long, u long"), "components"), now
         discard(before)
+        if now.count() <= min(small, BLOCK):
+            stars = stash(now.coalesce(1).mapInArrow(_contract, "v long, u long"), "components")
+            discard(now)
+            return named(stars)
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         # The minima are written, so that the joins deal both sides anew and the edges of one node can be split.
         near = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-near")
@@ -87,5 +96,4 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
         split = now.groupBy("v").count().filter("count > 1")
         if inner.isEmpty() and split.isEmpty():  # every node hangs from one root: stars
             break
-    roots = now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
-    return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
+    return named(now)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,8 @@ ORDERS = mix64(np.arange(1, PIECES + 1, dtype=np.uint64))
 #: Rows at one value whose pairs are all listed; rows of larger ones are paired by their rare shingles.
 CROWD = 16
 COUNTERS = 1 << 18
+#: Longs of a sketch, and of one folded for rows that stand at many values.
+SKETCH, FOLDED = 16, 4
 
 
 def shingle_digests(text: bytes | None, size: int) -> Iterator[bytes]:
@@ -84,15 +87,26 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *[np.unique(np.frombuffer(x, ">u8").astype(np.uint64)) for x in shingle_digests(text, size)]]))
 
 
-def signature(text: bytes | None, size: int = 5) -> tuple[bytes, np.ndarray]:
-    """The fingerprint of the distinct shingles and, for each of its bytes, the shingle that is least under an order of the byte's own (all ones without words)."""
+def sketch(shingles: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Whether the number of shingles that fall on a bit is odd, for each bit of so many signed longs.
+
+    Two sets' sketches differ in no more bits than shingles are in only one of
+    them, however large the sets are.  The exclusive or of a sketch's parts is
+    the sketch of as many longs as a part has.
+    """
+    odd = np.bincount((mix64(shingles) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def signature(text: bytes | None, size: int = 5) -> tuple[bytes, np.ndarray, np.ndarray, int]:
+    """The fingerprint of the distinct shingles and, for each of its bytes, the shingle that is least under an order of the byte's own (all ones without words); their sketch and number."""
     counts, least, found = np.zeros(2048, np.int64), np.full(PIECES, 2**64 - 1, np.uint64), shingle_set(text, size)
     for at in range(0, len(found), BLOCK):
         hashes = found[at : at + BLOCK]
         counts += np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + PLACE).ravel(), minlength=2048)
         for i in range(PIECES):
             least[i] = min(least[i], mix64(hashes ^ ORDERS[i]).min())
-    return (_majority(counts, len(found)) if len(found) else bytes(8)), least
+    return (_majority(counts, len(found)) if len(found) else bytes(8)), least, sketch(found), len(found)
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -171,16 +185,17 @@ def deduplicate(docs: DataFrame, size: int = 3, distance: int = 2, id_column: st
 
 
 def signatures(numbered: DataFrame, size: int = 5) -> DataFrame:
-    """``(doc, fp, mins)`` of ``(doc, text)``: the fingerprint as a signed long and a sampled shingle for each of its bytes."""
+    """``(doc, fp, mins, s, n)`` of ``(doc, text)``: the fingerprint as a signed long, a sampled shingle for each of its bytes, and the sketch and number of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             found = [signature(t, size) for t in bytes_of(batch.column(1))]
-            fp = np.frombuffer(b"".join(f for f, _ in found), ">u8").astype(np.uint64).view(np.int64)
-            mins = [m.view(np.int64) for _, m in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(mins, pa.list_(pa.int64()))], names=["doc", "fp", "mins"])
+            fp = np.frombuffer(b"".join(x[0] for x in found), ">u8").astype(np.uint64).view(np.int64)
+            mins, sketches = ([x[i].view(np.int64) for x in found] for i in (1, 2))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(mins, longs), pa.array(sketches, longs), pa.array([x[3] for x in found], pa.int64())], names=["doc", "fp", "mins", "s", "n"])
 
-    return numbered.select("doc", "text").mapInArrow(run, "doc long, fp long, mins array<long>")
+    return numbered.select("doc", "text").mapInArrow(run, "doc long, fp long, mins array<long>, s array<long>, n long")
 
 
 def meetings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,6 +245,26 @@ class Bar:
         return (self.similarity**2 if self.cosine else self.similarity) * n
 
 
+    def possible(self, a, n, b, m, longs):
+        """Of columns with two sets' sketches and sizes: whether the sets can be alike, by how many shingles at least are in only one of them."""
+        apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(longs)), F.lit(0))
+        return apart <= n + m - 2 * self.needed(n, m, F.sqrt) + 1e-6
+
+
+def folded(s):
+    """A column with the sketch of fewer longs."""
+    parts = [[F.get(s, F.lit(i)) for i in range(k, SKETCH, FOLDED)] for k in range(FOLDED)]
+    return F.array(*[reduce(lambda x, y: x.bitwiseXOR(y), p) for p in parts])
+
+
+def perhaps_alike(pairs: DataFrame, signed: DataFrame, bar: Bar) -> DataFrame:
+    """``(u, v)`` without the pairs that their sketches show to be unlike."""
+    left = signed.select(F.col("doc").alias("u"), F.col("s").alias("a"), "n")
+    right = signed.select(F.col("doc").alias("w"), F.col("s").alias("b"), F.col("n").alias("m"))
+    possible = bar.possible(F.col("a"), F.col("n"), F.col("b"), F.col("m"), SKETCH)
+    return pairs.join(left, "u").join(right, (F.col("v") == F.col("w")) & possible).select("u", "v")
+
+
 def overlaps(rooted: DataFrame, size: int, bar: Bar) -> DataFrame:
     """``(u, v)`` with ``u < v`` of ``(doc, root, text)``: all pairs of different roots that can be similar enough, and few others.
 
@@ -237,7 +272,8 @@ def overlaps(rooted: DataFrame, size: int, bar: Bar) -> DataFrame:
     under any one order of shingles, two similar sets share one of their first,
     as many as leave too few behind them for what a similar set has in common,
     early enough in both to leave room for the overlap they need.  Shingles of rare buckets come first, so what many texts
-    share is hardly among them.  No pair is missed, whatever the counts are.
+    share is hardly among them.  Of those pairs only the ones that folded sketches leave possible are made.  No pair is
+    missed, whatever the counts are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +292,7 @@ def overlaps(rooted: DataFrame, size: int, bar: Bar) -> DataFrame:
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2, 1 << 20):
-            shingles, owner, place, total = [], [], [], []
+            shingles, owner, place, total, sketches = [], [], [], [], []
             for i, text in enumerate(bytes_of(batch.column(2))):
                 found = shingle_set(text, size)
                 n = len(found)
@@ -266,16 +302,18 @@ def overlaps(rooted: DataFrame, size: int, bar: Bar) -> DataFrame:
                     owner.append(np.full(len(order), i))
                     place.append(np.arange(len(order)))
                     total.append(np.full(len(order), n))
+                sketches.append(sketch(found, FOLDED))
             if shingles:
                 at = pa.array(np.concatenate(owner))
-                arrays = [pa.array(np.concatenate(shingles)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(place)), pa.array(np.concatenate(total))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "u", "p", "i", "n"])
+                arrays = [pa.array(np.concatenate(shingles)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(place)), pa.array(np.concatenate(total)), pa.array(sketches, pa.list_(pa.int64())).take(at)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "u", "p", "i", "n", "a"])
 
     # Written, so that the join deals both sides anew and a shingle with many rows can be split.
-    left = stash(rooted.mapInArrow(begin, "shingle long, u long, p long, i long, n long"), "similar-prefixes")
-    right = left.select("shingle", F.col("u").alias("v"), F.col("p").alias("q"), F.col("i").alias("j"), F.col("n").alias("m"))
+    left = stash(rooted.mapInArrow(begin, "shingle long, u long, p long, i long, n long, a array<long>"), "similar-prefixes")
+    right = left.select("shingle", F.col("u").alias("v"), F.col("p").alias("q"), F.col("i").alias("j"), F.col("n").alias("m"), F.col("a").alias("b"))
     room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= bar.needed(F.col("n"), F.col("m"), F.sqrt) - 1e-6
-    return left.join(right, "shingle").filter((F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & room).select("u", "v").distinct()
+    possible = bar.possible(F.col("a"), F.col("n"), F.col("b"), F.col("m"), FOLDED)
+    return left.join(right, "shingle").filter((F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & room & possible).select("u", "v").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, bar: Bar) -> DataFrame:
@@ -303,14 +341,15 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, bar: Bar) -> DataFra
 def similar_links(numbered: DataFrame, size: int = 5, bar: Bar = Bar()) -> DataFrame:
     """``(u, v)``: links between rows of ``(doc, text)`` that are similar enough; their components are the groups.
 
-    First each row is compared with the least of the rows it meets, then with
-    the least at each of its values.  Where rows at a value are still in
-    different components after that, all of those are compared: the pairs of
-    a value with few rows as they are, and rows of crowded values by their
-    rare shingles.  So every pair that meets is linked, connected by others or
-    known to be unlike.
+    First each row is compared with the least at each of its values.  Where
+    rows at a value are still in different components after that, all of those
+    are compared: the pairs of a value with few rows as they are, and rows of
+    crowded values by their rare shingles.  Sketches rule out what is unlike
+    beyond doubt, and only the rest takes texts along.  So every pair that
+    meets is linked, connected by others or known to be unlike.
     """
-    met, equal = meetings(stash(signatures(numbered, size), "similar-prints"))
+    signed = stash(signatures(numbered, size), "similar-prints")
+    met, equal = meetings(signed)
     close = met.filter("u < doc")
     pairs = stash(close.select("u", F.col("doc").alias("v")).unionByName(equal.select("u", "v")).distinct(), "similar-pairs")
 
@@ -319,11 +358,8 @@ def similar_links(numbered: DataFrame, size: int = 5, bar: Bar = Bar()) -> DataF
         texts = stash(numbered.select("doc", "text").join(involved, "doc", "left_semi"), f"{name}-texts")
         return stash(verified(some, texts, size, bar), name)
 
-    tried = stash(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "similar-tried")
-    first = compared(tried, "similar-first")
+    first = compared(stash(perhaps_alike(pairs, signed, bar), "similar-possible"), "similar-first")
     roots = stash(connected_components(first), "similar-roots")
-    second = first.unionByName(compared(stash(apart(pairs, roots).join(tried, ["u", "v"], "left_anti"), "similar-others"), "similar-second"))
-    roots = stash(connected_components(second), "similar-roots")
     # A row unlike the one that stands for its signature meets whatever that one meets.
     alone = stash(apart(equal.select("u", "v"), roots).join(equal, ["u", "v"]).select("variant", "u", "v"), "similar-alone")
     rows = met.select("variant", "doc").unionByName(alone.select("variant", F.col("v").alias("doc"))).unionByName(alone.select("variant", F.col("u").alias("doc")).distinct())
@@ -331,12 +367,14 @@ def similar_links(numbered: DataFrame, size: int = 5, bar: Bar = Bar()) -> DataF
     rows = stash(rows.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("variant", "doc", F.coalesce("root", "doc").alias("root")), "similar-rows")
     mixed = stash(rows.groupBy("variant").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")).filter("p < q").select("variant", "n"), "similar-mixed")
     rows = stash(rows.join(mixed, "variant"), "similar-unsettled")
-    few = rows.filter(F.col("n") <= CROWD).select("variant", "doc", "root")
-    few = few.join(few.select("variant", F.col("doc").alias("v"), F.col("root").alias("q")), "variant").filter("doc < v and root <> q").select(F.col("doc").alias("u"), "v").distinct()
+    few = rows.filter(F.col("n") <= CROWD).select("variant", "doc", "root").join(signed.select("doc", folded(F.col("s")).alias("a"), F.col("n")), "doc")
+    few = stash(few, "similar-few")
+    possible = bar.possible(F.col("a"), F.col("n"), F.col("b"), F.col("m"), FOLDED)
+    few = few.join(few.select("variant", F.col("doc").alias("v"), F.col("root").alias("q"), F.col("a").alias("b"), F.col("n").alias("m")), "variant").filter((F.col("doc") < F.col("v")) & (F.col("root") != F.col("q")) & possible).select(F.col("doc").alias("u"), "v").distinct()
     crowd = rows.filter(F.col("n") > CROWD).select("doc", "root").distinct()
     crowded = stash(numbered.select("doc", "text").join(crowd, "doc").select("doc", "root", "text"), "similar-crowded")
-    rest = few.unionByName(overlaps(crowded, size, bar)).distinct().join(pairs, ["u", "v"], "left_anti")
-    return second.unionByName(compared(stash(rest, "similar-rest"), "similar-third"))
+    rest = stash(few.unionByName(overlaps(crowded, size, bar)).distinct().join(pairs, ["u", "v"], "left_anti"), "similar-rest")
+    return first.unionByName(compared(stash(perhaps_alike(rest, signed, bar), "similar-others"), "similar-second"))
 
 
 def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", cosine: bool = False) -> DataFrame:

@@ -19,9 +19,9 @@ run of ``least`` words standing at two places of the corpus or more.
 
 Sorts range-partition on all their columns, down to document and place, so
 however often a passage occurs its occurrences are spread over tasks, and only
-neighbours are ever compared: no group is gathered, no pairs are formed.  The
-few groups of suffixes that a task sees only a part of, since they go on in the
-next, are settled by a sort of their windows.
+neighbours are ever compared: no large group is gathered, no pairs are formed.
+A group of few suffixes stays in one task, which settles it; large groups, of
+which a task sees only a part, are settled by a sort of their windows.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from .common import BoundedCache, bytes_of, mix64, small_batches, stash
 
 #: Suffixes that a task extends at a time.
 BLOCK = 1 << 16
+#: Suffixes of one key that stay in one task; more are spread over tasks.
+WHOLE = 1 << 12
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
 SECOND = 0xC2B2AE3D27D4EB4F | 1
 
@@ -215,14 +217,15 @@ class Suffixes:
     place: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    large: np.ndarray  # whether other tasks may have suffixes of this key
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Suffixes:
         codes = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (1, 2)]
-        return cls(batch.column(0).to_numpy(), *codes, *(batch.column(i).to_numpy() for i in range(3, 7)))
+        return cls(batch.column(0).to_numpy(), *codes, *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)))
 
     def columns(self) -> list[np.ndarray]:
-        return [self.a, self.right, self.left, self.doc, self.place, self.low, self.high]
+        return [self.a, self.right, self.left, self.doc, self.place, self.low, self.high, self.large]
 
     def __len__(self) -> int:
         return len(self.a)
@@ -326,13 +329,17 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
     change what was found among the suffixes of one.
     """
     columns = ["a", "right", "left", "doc", "place"]
-    ordered = rows.repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)
+    # At most one in WHOLE of the keys, with nothing but the key.
+    large = rows.groupBy("a").count().filter(F.col("count") > WHOLE).select("a", F.lit(True).alias("large"))
+    marked = rows.join(F.broadcast(large), "a", "left").select(*rows.columns, F.coalesce("large", F.lit(False)).alias("large"))
+    dealt = marked.repartitionByRange(partitions, "a", *[F.when(F.col("large"), F.col(c)) for c in columns[1:]])
+    ordered = dealt.sortWithinPartitions(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_key = None, None
 
         def settle(some: Suffixes, last_is_open: bool) -> Iterator[pa.RecordBatch]:
-            is_open = some.a == open_key
+            is_open = some.large | (some.a == open_key)
             if last_is_open:
                 is_open |= some.a == some.a[-1]
             again, first = some.extended()
@@ -350,8 +357,6 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
             if not batch.num_rows:
                 continue
             new = Suffixes.of(batch)
-            if open_key is None:
-                open_key = new.a[0]  # the task before may have the rest of this group
             held = new if held is None else held.and_then(new)
             if len(held) >= BLOCK:
                 cut = int(np.flatnonzero(held.a != held.a[-1])[-1]) + 1 if held.a[0] != held.a[-1] else len(held)
@@ -360,7 +365,7 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
                     open_key = held.a[-1]
                 held = held[cut:]
         if held is not None and len(held):
-            yield from settle(held, True)
+            yield from settle(held, False)
 
     names = [c.split()[0] for c in SETTLED.split(", ")]
     found = stash(ordered.mapInArrow(run, SETTLED), "suffix-extended")

@@ -639,3 +639,58 @@ def test_similar_texts_with_a_repeated_line(spark):
         text, own = " ".join(f"w{i}x{k}" for k in range(150)), " ".join(f"l{i}x{k}" for k in range(12))
         rows += [(i, f"{text} {own}"), (1000 + i, text + f" {own}" * 300)]
     assert sorted(r.doc_id for r in simhash.deduplicate_similar(frame(spark, rows)).collect()) == list(range(60))
+
+
+def test_unlike_copies_of_one_text_are_not_paired(spark):
+    """Of 160 copies with changed words, any two at about 0.6, hardly any pair is made, and those alike are found."""
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(300)], []
+    for i in range(160):
+        near = list(base)
+        for at in rng.sample(range(300), 7):
+            near[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(near)))
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(5)]
+    texts = spark.createDataFrame([(i, i, t) for i, t in rows], "doc long, root long, text string")
+    found = {(r.u, r.v) for r in simhash.overlaps(texts, 5, simhash.Bar()).collect()}
+    assert len(found) < 100 and {(i, 1000 + i) for i in range(5)} <= found
+    assert sorted(r.doc_id for r in simhash.deduplicate_similar(frame(spark, rows)).collect()) == list(range(160))
+
+
+def test_sketches_are_a_bound_and_fold():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (300, 290, 200), (5000, 4000, 3500)):
+        x = np.unique(rng.integers(0, 2**63, n + m - both, dtype=np.uint64))
+        a, b = x[:n], x[n - both :]
+        for longs in (simhash.SKETCH, simhash.FOLDED):
+            differing = sum(map(int.bit_count, (simhash.sketch(a, longs) ^ simhash.sketch(b, longs)).view(np.uint64).tolist()))
+            assert differing <= n + m - 2 * both and differing % 2 == (n + m) % 2
+        assert (np.bitwise_xor.reduce(simhash.sketch(a).reshape(-1, simhash.FOLDED)) == simhash.sketch(a, simhash.FOLDED)).all()
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_in_one_task_and_in_rounds(spark, small):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(7, 7), (200, None)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    got = {r.node: r.root for r in components.connected_components(df, small=small).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+    assert components.connected_components(df.limit(0), small=small).count() == 0
+
+
+@pytest.mark.parametrize("whole", [3, 10**6])
+def test_suffix_groups_whole_or_spread(spark, monkeypatch, whole):
+    """Only groups over the bound are spread and settled by their windows."""
+    monkeypatch.setattr(suffix, "WHOLE", whole)
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(9)) for k in range(5)]
+    rows = [(i, " ".join([*(rng.choice("uvw") for _ in range(rng.randint(0, 9))), rng.choice(passages), *(rng.choice("xyz") for _ in range(rng.randint(0, 9)))])) for i in range(90)]
+    rest, extend = [], suffix.extend
+
+    def spied(*args):
+        settled, others = extend(*args)
+        rest.append(others.count())
+        return settled, others
+
+    monkeypatch.setattr(suffix, "extend", spied)
+    assert sorted(map(tuple, suffix.repeated_passages(frame(spark, rows), 12, 4).collect()), key=repr) == brute_passages(rows, 12)
+    assert (rest[0] > 0) == (whole == 3)
