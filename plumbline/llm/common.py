@@ -102,6 +102,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bits of one row of a filter of ids, as ``bitmap_construct_agg`` makes them; bits for each id; bits at most (32 MB broadcast).
+FILTER_ROW, FILTER_BITS, MOST_BITS = 1 << 15, 16, 1 << 28
+
+
+def split_by_ids(rows: DataFrame, column: str, ids: DataFrame, most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose whole number ``column`` may be in column ``column`` of ``ids``, and the others, which surely are not there.
+
+    So a join with ``ids`` shuffles few other rows and their texts.  The filter
+    has one hash function; beyond ``most`` bits more rows stay open.  Nulls
+    are surely not there.  ``ids`` is read twice.
+    """
+    bits = max(FILTER_ROW, min(most, 1 << (FILTER_BITS * ids.count()).bit_length()))
+
+    def place(of: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(of[column].cast("long")), F.lit(bits))
+
+    held = ids.filter(ids[column].isNotNull()).select(place(ids).alias("at"))
+    held = held.groupBy(F.floor(F.col("at") / FILTER_ROW).alias("__plumbline_row")).agg(F.bitmap_construct_agg(F.col("at") % FILTER_ROW).alias("__plumbline_bits"))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    marked = rows.withColumn("__plumbline_at", place(rows)).withColumn("__plumbline_row", F.floor(F.col("__plumbline_at") / FILTER_ROW)).join(F.broadcast(held), "__plumbline_row", "left")
+    at = (F.col("__plumbline_at") % FILTER_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__plumbline_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.col("__plumbline_bits").isNotNull() & F.col(f"`{column}`").isNotNull() & (F.expr("shiftright(__plumbline_byte, __plumbline_bit)").bitwiseAND(F.lit(1)) == 1)
+    marked = marked.withColumns({"__plumbline_byte": byte, "__plumbline_bit": (at % 8).cast("int")}).withColumn("__plumbline_may", F.coalesce(may, F.lit(False)))
+    return marked.filter("__plumbline_may").select(*names), marked.filter("NOT __plumbline_may").select(*names)
+
+
 SUMS = "chunk int, part int, at binary, sums binary"
 #: Tasks whose sums one merging task adds up at most, in the first of two steps, is the number of tasks by this.
 MERGERS = 64

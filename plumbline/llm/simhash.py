@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bytes_of, mix64, pick_columns, small_batches, stash
+from .common import bytes_of, mix64, pick_columns, small_batches, split_by_ids, stash
 from .components import connected_components
 from .suffix import numbered_rows
 
@@ -199,7 +199,7 @@ def signatures(numbered: DataFrame, size: int = 5) -> DataFrame:
 
 
 def meetings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where rows of ``(doc, fp, mins)`` meet: ``(variant, doc, u)`` at values, ``(variant, u, v)`` at whole signatures.
+    """Where rows of ``(doc, fp, mins, n)`` meet: ``(variant, doc, n, u, m)`` at values, ``(variant, u, v)`` at whole signatures.
 
     Every byte emits its ball of radius one together with its sampled shingle,
     72 values in all; two texts meet where they share the shingle and their
@@ -208,17 +208,20 @@ def meetings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     one in ten thousands; at a cosine of 0.8 with one half, and they miss one in
     three hundred.  Rows of one signature emit one set of values, under the least
     doc ``u``.  At a value ``u`` is the least doc, found by partial
-    aggregation, so rows per value may grow.
+    aggregation, so rows per value may grow; its number of shingles ``m`` goes
+    along, so sizes can rule out pairs before anything is joined to them.
     """
-    same = stash(signed.groupBy("fp", "mins").agg(F.min("doc").alias("u"), F.count("*").alias("n")), "similar-signatures")
+    first = F.min(F.struct("doc", "n")).alias("least")
+    same = signed.groupBy("fp", "mins").agg(first, F.count("*").alias("copies"))
+    same = stash(same.select("fp", "mins", F.col("least.doc").alias("u"), F.col("least.n").alias("n"), "copies"), "similar-signatures")
     masks = [0, *[1 << b for b in range(8)]]
     values = [F.xxhash64(F.lit(i), F.get("mins", F.lit(i)), F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255)).bitwiseXOR(F.lit(m))) for i in range(PIECES) for m in masks]
-    emitted = same.select(F.col("u").alias("doc"), F.explode(F.array(*values)).alias("variant"))
-    least = emitted.groupBy("variant").agg(F.min("doc").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    emitted = same.select(F.col("u").alias("doc"), "n", F.explode(F.array(*values)).alias("variant"))
+    least = emitted.groupBy("variant").agg(first, F.count("*").alias("docs")).filter("docs > 1")
     # Written first, so that the join deals both sides anew and a value with many rows can be split.
-    least = stash(least.select("variant", "u"), "similar-least")
-    met = emitted.join(least, "variant").select("variant", "doc", "u")
-    equal = signed.join(same.filter("n > 1"), ["fp", "mins"]).filter("u < doc")
+    least = stash(least.select("variant", F.col("least.doc").alias("u"), F.col("least.n").alias("m")), "similar-least")
+    met = emitted.join(least, "variant").select("variant", "doc", "n", "u", "m")
+    equal = signed.join(same.filter("copies > 1").select("fp", "mins", "u"), ["fp", "mins"]).filter("u < doc")
     return stash(met, "similar-met"), stash(equal.select(F.xxhash64(F.lit(PIECES), "fp", "mins").alias("variant"), "u", F.col("doc").alias("v")), "similar-equal")
 
 
@@ -246,9 +249,9 @@ class Bar:
 
 
     def possible(self, a, n, b, m, longs):
-        """Of columns with two sets' sketches and sizes: whether the sets can be alike, by how many shingles at least are in only one of them."""
+        """Of columns with two sets' sketches (of so many longs, none for sizes alone) and sizes: whether the sets can be alike, by how many shingles at least are in only one of them."""
         apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(longs)), F.lit(0))
-        return apart <= n + m - 2 * self.needed(n, m, F.sqrt) + 1e-6
+        return F.greatest(apart, F.abs(n - m)) <= n + m - 2 * self.needed(n, m, F.sqrt) + 1e-6
 
 
 def folded(s):
@@ -350,12 +353,14 @@ def similar_links(numbered: DataFrame, size: int = 5, bar: Bar = Bar()) -> DataF
     """
     signed = stash(signatures(numbered, size), "similar-prints")
     met, equal = meetings(signed)
-    close = met.filter("u < doc")
+    close = met.filter((F.col("u") < F.col("doc")) & bar.possible(None, F.col("n"), None, F.col("m"), 0))
     pairs = stash(close.select("u", F.col("doc").alias("v")).unionByName(equal.select("u", "v")).distinct(), "similar-pairs")
 
     def compared(some: DataFrame, name: str) -> DataFrame:
         involved = some.select(F.col("u").alias("doc")).unionByName(some.select(F.col("v").alias("doc"))).distinct()
-        texts = stash(numbered.select("doc", "text").join(involved, "doc", "left_semi"), f"{name}-texts")
+        involved = stash(involved, f"{name}-involved")
+        perhaps, _ = split_by_ids(numbered.select("doc", "text"), "doc", involved)
+        texts = stash(perhaps.join(involved, "doc", "left_semi"), f"{name}-texts")
         return stash(verified(some, texts, size, bar), name)
 
     first = compared(stash(perhaps_alike(pairs, signed, bar), "similar-possible"), "similar-first")
@@ -371,8 +376,9 @@ def similar_links(numbered: DataFrame, size: int = 5, bar: Bar = Bar()) -> DataF
     few = stash(few, "similar-few")
     possible = bar.possible(F.col("a"), F.col("n"), F.col("b"), F.col("m"), FOLDED)
     few = few.join(few.select("variant", F.col("doc").alias("v"), F.col("root").alias("q"), F.col("a").alias("b"), F.col("n").alias("m")), "variant").filter((F.col("doc") < F.col("v")) & (F.col("root") != F.col("q")) & possible).select(F.col("doc").alias("u"), "v").distinct()
-    crowd = rows.filter(F.col("n") > CROWD).select("doc", "root").distinct()
-    crowded = stash(numbered.select("doc", "text").join(crowd, "doc").select("doc", "root", "text"), "similar-crowded")
+    crowd = stash(rows.filter(F.col("n") > CROWD).select("doc", "root").distinct(), "similar-crowd")
+    perhaps, _ = split_by_ids(numbered.select("doc", "text"), "doc", crowd)
+    crowded = stash(perhaps.join(crowd, "doc").select("doc", "root", "text"), "similar-crowded")
     rest = stash(few.unionByName(overlaps(crowded, size, bar)).distinct().join(pairs, ["u", "v"], "left_anti"), "similar-rest")
     return first.unionByName(compared(stash(perhaps_alike(rest, signed, bar), "similar-others"), "similar-second"))
 

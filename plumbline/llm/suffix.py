@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bytes_of, mix64, small_batches, stash
+from .common import BoundedCache, bytes_of, mix64, small_batches, split_by_ids, stash
 
 #: Suffixes that a task extends at a time.
 BLOCK = 1 << 16
@@ -317,14 +317,15 @@ class Suffixes:
         return _signed(np.concatenate(out[0])), _signed(np.concatenate(out[1])), np.concatenate(out[2]), np.concatenate(out[3])
 
 
-SETTLED = "a long, b long, doc long, place int, again int, first int"
+SETTLED = "a long, b long, doc long, place int, places array<int>, again array<int>, first array<int>"
 
 
 def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
     """Sort the suffixes of :func:`contexts` and extend matches.
 
-    ``(doc, place, again, first)`` of those with a repeated window, as bits by
-    the words before them; and ``(a, b, doc, place)`` of windows of groups that
+    ``(doc, places, again, first)`` of those with a repeated window, as lists of
+    places and of bits by the words before them: a row for each document of a
+    block, however many of its suffixes are there; and ``(a, b, doc, place)`` of windows of groups that
     lie in several tasks or blocks, as far as other parts of the group may
     change what was found among the suffixes of one.
     """
@@ -345,13 +346,17 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
             again, first = some.extended()
             at = np.flatnonzero(again)
             if len(at):
-                nothing = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(some.doc[at]), pa.array(some.place[at]), pa.array(again[at].astype(np.int32)), pa.array(first[at].astype(np.int32))], names=names)
+                at = at[np.argsort(some.doc[at], kind="stable")]
+                docs, begins = np.unique(some.doc[at], return_index=True)
+                bounds = pa.array(np.r_[begins, len(at)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x[at].astype(np.int32))) for x in (some.place, again, first)]
+                nothing = pa.nulls(len(docs), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(docs), pa.nulls(len(docs), pa.int32()), *lists], names=names)
             rest, bits = some[is_open], some[is_open].undecided(again[is_open], first[is_open])
             for at in range(0, len(rest), BLOCK // 4):
                 a, b, doc, place = rest[at : at + BLOCK // 4].windows(bits[at : at + BLOCK // 4])
-                none = pa.array(np.zeros(len(a), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doc), pa.array(place), none, none], names=names)
+                none = pa.nulls(len(a), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doc), pa.array(place), none, none, none], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -369,7 +374,7 @@ def extend(rows: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
 
     names = [c.split()[0] for c in SETTLED.split(", ")]
     found = stash(ordered.mapInArrow(run, SETTLED), "suffix-extended")
-    return found.filter("a is null").select("doc", "place", "again", "first"), found.filter("a is not null").select("a", "b", "doc", "place")
+    return found.filter("a is null").select("doc", "places", "again", "first"), found.filter("a is not null").select("a", "b", "doc", "place")
 
 
 def _stretches(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,17 +384,17 @@ def _stretches(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(found: DataFrame, least: int) -> DataFrame:
-    """Repeated windows, ``(doc, place, again, first)`` by bits, to one row a document: its passages and the parts of them that repeat something earlier.
+    """Repeated windows, ``(doc, places, again, first)`` by lists of bits, to one row a document: its passages and the parts of them that repeat something earlier.
 
     A window that is there twice is first only if both say so.
     """
-    rows = found.groupBy("doc").agg(F.collect_list(F.struct("place", "again", "first")).alias("windows"))
+    rows = found.groupBy("doc").agg(F.collect_list(F.struct("places", "again", "first")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
             for windows in batch.column(1):
-                place, again, first = (windows.values.field(c).to_numpy().astype(np.int64) for c in ("place", "again", "first"))
+                place, again, first = (windows.values.field(c).flatten().to_numpy().astype(np.int64) for c in ("places", "again", "first"))
                 at, before = np.nonzero(again[:, None] >> np.arange(32) & 1)
                 begins = place[at] - before
                 later = np.unique(begins[(first[at] >> before & 1) == 0])
@@ -415,10 +420,11 @@ def repeated_spans(numbered: DataFrame, least: int = 50, key: int = 20, partitio
         raise ValueError("a window has the key's words and at most 30 more")
     n = partitions or max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     suffixes = stash(sampled_suffixes(numbered, least, key), "suffix-sample")
-    alive = compare_neighbours(suffixes, n).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    around = stash(contexts(numbered.join(alive, "doc"), least, key), "suffix-contexts")
+    alive = stash(compare_neighbours(suffixes, n).groupBy("doc").agg(F.collect_list("place").alias("places")), "suffix-alive")
+    perhaps, _ = split_by_ids(numbered, "doc", alive)
+    around = stash(contexts(perhaps.join(alive, "doc"), least, key), "suffix-contexts")
     settled, rest = extend(around, n)
-    others = compare_neighbours(rest, n).select("doc", "place", F.lit(1).alias("again"), F.col("first").cast("int").alias("first"))
+    others = compare_neighbours(rest, n).select("doc", F.array("place").alias("places"), F.array(F.lit(1)).alias("again"), F.array(F.col("first").cast("int")).alias("first"))
     return _spans(settled.unionByName(others), least)
 
 
@@ -475,6 +481,7 @@ def deduplicate(docs: DataFrame, least: int = 50, key: int = 20, id_column: str
     """
     numbered, rows = numbered_rows(docs, id_column, text_column)
     spans = repeated_spans(numbered, least, key).filter(F.size("cut_begins") > 0).select(F.col("doc").alias("__plumbline_doc"), F.col("cut_begins").alias("__plumbline_from"), F.col("cut_ends").alias("__plumbline_to"))
+    spans = stash(spans, "suffix-cuts")
 
     @F.pandas_udf("string")
     def shorten(texts, begins, ends):
@@ -482,13 +489,15 @@ def deduplicate(docs: DataFrame, least: int = 50, key: int = 20, id_column: str
 
         return pd.Series([cut_text(t.encode(), b, e).decode() if b is not None else t for t, b, e in zip(texts, begins, ends)], dtype=object)
 
-    joined = rows.join(spans, "__plumbline_doc", "left")
+    # Only texts that are cut, and few others, are shuffled.
+    perhaps, straight = split_by_ids(rows, "__plumbline_doc", spans)
+    joined = stash(perhaps.join(spans, "__plumbline_doc", "left"), "suffix-joined")
     whole = joined.filter("__plumbline_from is null").select(*[F.col(f"`{c}`") for c in docs.columns])
     cut = joined.filter("__plumbline_from is not null").withColumn(text_column, shorten(F.col(f"`{text_column}`"), "__plumbline_from", "__plumbline_to"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length(F.col(f"`{text_column}`")).cast(dict(docs.dtypes)["n_chars"]))
     cut = cut.filter(F.translate(F.col(f"`{text_column}`"), " \t\n\x0b\x0c\r", "") != "").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return whole.unionByName(cut)
+    return straight.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(whole).unionByName(cut)
 
 
 def oracle(least: int = 50, table: str = "documents") -> str:

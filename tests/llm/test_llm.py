@@ -694,3 +694,55 @@ def test_suffix_groups_whole_or_spread(spark, monkeypatch, whole):
     monkeypatch.setattr(suffix, "extend", spied)
     assert sorted(map(tuple, suffix.repeated_passages(frame(spark, rows), 12, 4).collect()), key=repr) == brute_passages(rows, 12)
     assert (rest[0] > 0) == (whole == 3)
+
+
+def test_suffixes_of_one_document_make_one_row_a_block(spark, monkeypatch):
+    """A line that a document repeats has many suffixes of one key; what is found of them is a list."""
+    line = " ".join(f"l{i}" for i in range(12))
+    rows = [(i, " ".join([f"h{i}", *[line] * 40])) for i in range(6)]
+    made, extend = [], suffix.extend
+
+    def spied(*args):
+        settled, others = extend(*args)
+        made.append((settled.count(), settled.select(F.sum(F.size("places"))).first()[0]))
+        return settled, others
+
+    monkeypatch.setattr(suffix, "extend", spied)
+    assert sorted(map(tuple, suffix.repeated_passages(frame(spark, rows), 12, 4).collect()), key=repr) == brute_passages(rows, 12)
+    assert made[0][1] > 5 * made[0][0]
+
+
+def test_rows_are_split_by_ids(spark):
+    """No row whose id is there goes with the others, and of these few stay open."""
+    from plumbline.llm.common import split_by_ids
+
+    rows = spark.createDataFrame([(i * 7 - 900, f"t{i}") for i in range(3000)] + [(None, "none")], "doc long, text string")
+    ids = spark.createDataFrame([(i * 21 - 900,) for i in range(100)], "doc long")
+    perhaps, others = split_by_ids(rows, "doc", ids)
+    there = {r.doc for r in ids.collect()}
+    open_rows = [r.doc for r in perhaps.collect()]
+    assert perhaps.columns == others.columns == rows.columns and there <= set(open_rows) and len(open_rows) < 600
+    assert sorted([r.text for r in perhaps.collect()] + [r.text for r in others.collect()]) == sorted(r.text for r in rows.collect())
+    assert split_by_ids(rows, "doc", ids.limit(0))[0].count() == 0
+    assert {r.doc for r in split_by_ids(rows, "doc", ids, most=1 << 15)[0].collect()} >= there
+
+
+def test_texts_outside_repeats_are_not_shuffled(spark, monkeypatch):
+    """Only texts with a repeated passage meet their places, and few others."""
+    joined, split = [], suffix.split_by_ids
+    monkeypatch.setattr(suffix, "split_by_ids", lambda *a: joined.append([x.count() for x in split(*a)]) or split(*a))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(80))) for i in range(400)] + [(1000 + i, f"{passage} e{i}") for i in range(3)]
+    kept = {r.doc_id: r.text for r in suffix.deduplicate(frame(spark, rows)).collect()}
+    assert kept == dict(rows[:401]) | {1001: " e1", 1002: " e2"}
+    assert [x[0] + x[1] for x in joined] == [403, 403] and joined[0][0] < 60 and joined[1][0] < 60
+
+
+def test_sizes_rule_out_pairs(spark):
+    """Texts that meet but whose sizes are too far apart aren't compared by their sketches."""
+    seen = []
+    bar = simhash.Bar()
+    pairs = spark.createDataFrame([(100, 80), (100, 79), (80, 100), (0, 0), (1, 0)], "n long, m long")
+    for r in pairs.select("n", "m", bar.possible(None, F.col("n"), None, F.col("m"), 0).alias("may")).collect():
+        seen.append((r.n, r.m, r.may))
+    assert seen == [(100, 80, True), (100, 79, False), (80, 100, True), (0, 0, True), (1, 0, False)]
